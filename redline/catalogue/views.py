@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redline.session import spread
+
 FACT_YEARS = [f"FY{y}" for y in range(1992, 1999)]
 FILING_YEARS = [f"FY{y}" for y in range(2021, 2026)]
 
@@ -39,7 +41,7 @@ YEARS_SQL = "years AS (SELECT unnest([" + ",".join(f"'{y}'" for y in FACT_YEARS)
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as yearly filings: source = filer, language = section anchor."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("ticker"),
         F.concat(F.lit("FY"), (2021 + (F.col("doc_id") / 20).cast("bigint") % 5).cast("string")).alias("fiscal_year"),
         F.col("lang").alias("anchor"), "doc_id", "text", "n_chars")

@@ -51,14 +51,29 @@ def greedy_pairs(old: np.ndarray, new: np.ndarray, floor: float):
     return tuple(np.concatenate(p) for p in zip(*out))
 
 
-def _alignment_schema(keys: list[str], source: DataFrame) -> T.StructType:
-    return T.StructType([source.schema[k] for k in keys] + [
-        T.StructField("kind", T.StringType()), T.StructField("old_idx", T.LongType()),
-        T.StructField("new_idx", T.LongType()), T.StructField("similarity", T.DoubleType())])
+def _alignment_schema(keys: list[str], source: DataFrame, with_texts: bool) -> T.StructType:
+    fields = [T.StructField("kind", T.StringType()), T.StructField("old_idx", T.LongType()),
+              T.StructField("new_idx", T.LongType()), T.StructField("similarity", T.DoubleType())]
+    if with_texts:
+        fields += [T.StructField("old_text", T.StringType()), T.StructField("new_text", T.StringType())]
+    return T.StructType([source.schema[k] for k in keys] + fields)
 
 
-def _match_bounded(old: DataFrame, new: DataFrame, keys: list[str], floor: float, model_key: str | None) -> DataFrame:
-    schema = _alignment_schema(keys, old)
+def stack_sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two frames of paragraphs as one with a ``side`` column."""
+    return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
+
+
+def align_bounded(sides: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys: list[str] = PAIR,
+                  model_key: str | None = None) -> DataFrame:
+    """:func:`align_sides` for callers that know every section pair fits one task; stays lazy.
+
+    Both versions of a section arrive in one group, so the paragraphs are shuffled once and leave with
+    their texts attached.
+    """
+    with_texts = "text" in sides.columns
+    schema = _alignment_schema(keys, sides, with_texts)
+    names = [f.name for f in schema.fields]
     factory = embedder_factory(model_key) if model_key else None
     cache: dict = {}
 
@@ -71,29 +86,40 @@ def _match_bounded(old: DataFrame, new: DataFrame, keys: list[str], floor: float
             cache["model"] = factory()
         return cache["model"](pdf["text"].tolist())
 
-    def run(key, o: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        o, n = o.sort_values("idx", ignore_index=True), n.sort_values("idx", ignore_index=True)
-        i, j, s = greedy_pairs(vectors(o), vectors(n), floor)
-        oi, ni = o["idx"].to_numpy(dtype="int64"), n["idx"].to_numpy(dtype="int64")
-        removed, added = np.delete(oi, i), np.delete(ni, j)
-        out = pd.DataFrame({
-            "kind": ["matched"] * len(i) + ["added"] * len(added) + ["removed"] * len(removed),
-            "old_idx": np.concatenate([oi[i], np.full(len(added), -1), removed]).astype("int64"),
-            "new_idx": np.concatenate([ni[j], added, np.full(len(removed), -1)]).astype("int64"),
-            "similarity": np.concatenate([s, np.zeros(len(added) + len(removed))])})
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", ignore_index=True)
+        o, n = pdf[pdf["side"] == "old"], pdf[pdf["side"] == "new"]
+        i, j, s = greedy_pairs(vectors(o), vectors(n), floor) if len(o) and len(n) else (np.array([], int),) * 2 + (
+            np.array([]),)
+        o_free, n_free = np.delete(np.arange(len(o)), i), np.delete(np.arange(len(n)), j)
+        none_o, none_n = np.full(len(n_free), -1), np.full(len(o_free), -1)
+        o_rows, n_rows = np.concatenate([i, none_o, o_free]), np.concatenate([j, n_free, none_n])
+
+        def pick(frame, column, rows, absent):
+            values = np.append(frame[column].to_numpy(dtype=object), absent)  # row -1 is the absent one
+            return values[rows.astype(int)]
+
+        out = {"kind": ["matched"] * len(i) + ["added"] * len(n_free) + ["removed"] * len(o_free),
+               "old_idx": pick(o, "idx", o_rows, -1).astype("int64"),
+               "new_idx": pick(n, "idx", n_rows, -1).astype("int64"),
+               "similarity": np.concatenate([s, np.zeros(len(n_free) + len(o_free))])}
+        if with_texts:
+            out.update(old_text=pick(o, "text", o_rows, ""), new_text=pick(n, "text", n_rows, ""))
+        out = pd.DataFrame(out)
         for name, value in zip(keys, key):
             out[name] = value
-        return out[[*keys, "kind", "old_idx", "new_idx", "similarity"]]
+        return out[names]
 
-    payload = "vector" if factory is None else "text"
-    return (old.select(*keys, "idx", payload).groupBy(*keys)
-            .cogroup(new.select(*keys, "idx", payload).groupBy(*keys)).applyInPandas(run, schema))
+    payload = [c for c in ("text", "vector") if c in sides.columns and (c == "text" or factory is None)]
+    # the work is in the numbers, not in the bytes: keep the configured width instead of letting it coalesce
+    width = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (sides.select(*keys, "side", "idx", *payload).repartition(width, *keys)
+            .groupBy(*keys).applyInPandas(run, schema))
 
 
-def pair_sizes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    o = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_old"))
-    n = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
-    return o.join(n, keys, "full").na.fill(0, ["n_old", "n_new"])
+def pair_sizes(sides: DataFrame, keys: list[str]) -> DataFrame:
+    return sides.groupBy(*keys).agg(F.count_if(F.col("side") == "old").alias("n_old"),
+                                    F.count_if(F.col("side") == "new").alias("n_new"))
 
 
 def is_large(max_cells: int = MAX_CELLS, max_side: int = MAX_SIDE) -> Column:
@@ -101,24 +127,49 @@ def is_large(max_cells: int = MAX_CELLS, max_side: int = MAX_SIDE) -> Column:
             | (F.col("n_new") > max_side))
 
 
-def align(old: DataFrame, new: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys: list[str] = PAIR,
-          model_key: str | None = None, sizes: DataFrame | None = None, max_cells: int = MAX_CELLS,
-          max_side: int = MAX_SIDE, tile: int = TILE) -> DataFrame:
+def align_sides(sides: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys: list[str] = PAIR,
+                model_key: str | None = None, large: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Alignment rows (keys, kind, old_idx, new_idx, similarity); kind is matched, added or removed.
 
-    Both sides carry (keys, idx, vector), or (keys, idx, text) with a ``model_key``. ``sizes``
-    (keys, n_old, n_new) avoids a counting pass when the caller has it.
+    ``sides`` is (keys, side, idx, vector) or, with a ``model_key``, (keys, side, idx, text); texts, where
+    present, come along as old_text / new_text. ``large`` lists the keys too big for one task, or is None
+    when there are none.
     """
-    sizes = pair_sizes(old, new, keys) if sizes is None else sizes
+    if large is None:
+        return align_bounded(sides, floor, keys, model_key)
+    small, big = sides.join(large, keys, "left_anti"), sides.join(large, keys, "left_semi")
+    texts = big.select(*keys, "side", "idx", "text") if "text" in sides.columns else None
+    if model_key:
+        big = embed(big, "text", model_key)
+    big = big.select(*keys, "side", "idx", "vector")
+    matched = _match_large(big.filter("side = 'old'").drop("side"), big.filter("side = 'new'").drop("side"),
+                           keys, floor, tile)
+    if texts is not None:
+        for side in ("old", "new"):
+            matched = matched.join(texts.filter(F.col("side") == side).select(
+                *keys, F.col("idx").alias(f"{side}_idx"), F.col("text").alias(f"{side}_text")),
+                [*keys, f"{side}_idx"], "left")
+        matched = matched.na.fill("", ["old_text", "new_text"])
+    return align_bounded(small, floor, keys, model_key).unionByName(matched)
+
+
+def large_sections(sizes: DataFrame, keys: list[str] = PAIR, max_cells: int = MAX_CELLS,
+                   max_side: int = MAX_SIDE) -> DataFrame | None:
+    """Keys of section pairs beyond the per-task bound, or None when the check finds none."""
     large = sizes.filter(is_large(max_cells, max_side)).select(*keys)
     if large.isEmpty():
-        return _match_bounded(old, new, keys, floor, model_key)
-    large = cut_lineage(large)  # one short row per oversized section
-    small = [side.join(large, keys, "left_anti") for side in (old, new)]
-    big = [side.join(large, keys, "left_semi") for side in (old, new)]
-    if model_key:
-        big = [embed(side, "text", model_key) for side in big]
-    return _match_bounded(*small, keys, floor, model_key).unionByName(_match_large(*big, keys, floor, tile))
+        return None
+    return cut_lineage(large)  # one short row per oversized section
+
+
+def align(old: DataFrame, new: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys: list[str] = PAIR,
+          model_key: str | None = None, max_cells: int = MAX_CELLS, max_side: int = MAX_SIDE,
+          tile: int = TILE) -> DataFrame:
+    """:func:`align_sides` for two separate frames, sized by a counting pass."""
+    columns = [*keys, "idx"] + [c for c in ("text", "vector") if c in old.columns]
+    sides = stack_sides(old.select(*columns), new.select(*columns))
+    return align_sides(sides, floor, keys, model_key,
+                       large_sections(pair_sizes(sides, keys), keys, max_cells, max_side), tile)
 
 
 # ---- sections too large for one task ------------------------------------------------------------------
@@ -176,8 +227,9 @@ def _run_tiles(meetings: DataFrame, keys: list[str], kernel, schema: T.StructTyp
                 size = len(next(iter(cols.values())))
                 if size == 0:
                     continue
-                cols.update({k: [batch.column(k)[r].as_py()] * size for k in keys})
-                yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in names], names)
+                same_key = pa.array([r] * size)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(same_key) if c in keys else pa.array(cols[c]) for c in names], names)
 
     return meetings.select(*keys, *sides).mapInArrow(run, schema)
 

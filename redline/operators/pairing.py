@@ -60,20 +60,27 @@ def section_sizes(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
         F.sum(F.size(paragraphs(F.col("text"), sep))).alias("n"))
 
 
-def both_sides(paras: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs as the old and as the new side of each year pair they take part in."""
-    payload = [c for c in paras.columns if c not in ("ticker", "fiscal_year")]
-    def side(year):
-        p = pairs.select("ticker", F.col(year).alias("fiscal_year"), "y_old", "y_new")
-        return paras.join(p, ["ticker", "fiscal_year"]).select("ticker", "y_old", "y_new", *payload)
-    return side("y_old"), side("y_new")
+def paired_sides(paras: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Paragraphs with every part they play: (ticker, y_old, y_new, side, ...), side = old or new.
+
+    A middle year is the new side of one pair and the old side of the next; both rows come from one scan.
+    """
+    def role(year, side):
+        return pairs.select("ticker", F.col(year).alias("fiscal_year"), "y_old", "y_new", F.lit(side).alias("side"))
+    roles = role("y_old", "old").unionAll(role("y_new", "new"))
+    return paras.join(roles, ["ticker", "fiscal_year"]).drop("fiscal_year")
 
 
-def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:
+def exact_matches(sides: DataFrame) -> DataFrame:
     """Distinct paragraph texts of a section pair that occur on both sides, with copies per side.
 
-    Copies are counted before the join, so a text repeated a million times on either side stays one row.
+    Copies are counted map-side, so a text repeated a million times on either side stays one row.
     """
-    o = old.groupBy(*PAIR, "text").agg(F.count(F.lit(1)).alias("n_old"), F.min("idx").alias("first_old_idx"))
-    n = new.groupBy(*PAIR, "text").agg(F.count(F.lit(1)).alias("n_new"), F.min("idx").alias("first_new_idx"))
-    return o.join(n, [*PAIR, "text"])
+    def n(side):
+        return F.count_if(F.col("side") == side).alias(f"n_{side}")
+
+    def first(side):
+        return F.min(F.when(F.col("side") == side, F.col("idx"))).alias(f"first_{side}_idx")
+
+    return (sides.groupBy(*PAIR, "text").agg(n("old"), first("old"), n("new"), first("new"))
+            .filter("n_old > 0 AND n_new > 0"))

@@ -51,3 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/redline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Re-split an input that arrives in fewer pieces than the cluster has cores; larger inputs pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import os
+import tempfile
 
 import duckdb
 
@@ -14,6 +15,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='spark-duckdb-', dir='/tmp')}'")
+    con.execute("SET max_temp_directory_size='5GB'")
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
