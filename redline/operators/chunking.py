@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from redline import dims
 from redline.functions.text import strip
+from redline.operators import extract as X
 
 
 def chunk_windows(df: DataFrame, keys: list[str], size: int = dims.FIXED_CHUNK_CHARS,
@@ -21,3 +25,169 @@ def chunk_windows(df: DataFrame, keys: list[str], size: int = dims.FIXED_CHUNK_C
                     F.least(F.col("span_start") + size, F.col("_n")).alias("span_end"),
                     F.expr(f"substring(text, int(span_start) + 1, {size})").alias("text"))
             .filter(strip(F.col("text")) != ""))
+
+
+def chunk_fixed(df: DataFrame, keys: list[str], size: int = dims.FIXED_CHUNK_CHARS,
+                overlap: int = dims.FIXED_OVERLAP_CHARS, window: int = dims.SNAP_WINDOW) -> DataFrame:
+    """Overlapping windows whose ends move to the nearest blank line within ``window`` characters.
+
+    Each end depends on the one before, so a document is walked in order; documents run in parallel.
+    """
+    @F.pandas_udf("array<struct<span_start:int,span_end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts.fillna(""):
+            found, pos, n = [], 0, len(text)
+            while pos < n:
+                end = n
+                if pos + size < n:
+                    target = pos + size
+                    near = _nearest_break(text, target, window)
+                    end = target if near is None or near <= pos else near
+                found.append((pos, end))
+                if end == n:
+                    break
+                pos = max(end - overlap, pos + 1)
+            out.append(found)
+        return pd.Series(out)
+
+    cut = df.select(*keys, "text", F.explode(spans(F.col("text"))).alias("s"))
+    pieces = cut.select(*keys, "s.span_start", "s.span_end", strip(F.expr(
+        "substring(text, s.span_start + 1, s.span_end - s.span_start)")).alias("text")).filter("text <> ''")
+    w = W.partitionBy(*keys).orderBy("span_start")  # one document per partition
+    return pieces.withColumn("chunk_no", (F.row_number().over(w) - 1).cast("long"))
+
+
+def _nearest_break(text: str, target: int, window: int):
+    """Blank line nearest to ``target``, looking ``window`` characters either way; the earlier one on a tie."""
+    before = text.rfind("\n\n", max(0, target - window), target + 1)
+    after = text.find("\n\n", target, min(len(text), target + window))
+    if before < 0 or after < 0:
+        found = max(before, after)
+        return None if found < 0 else found
+    return before if target - before <= after - target else after
+
+
+def _cut_line(line: str, limit: int):
+    """An overlong line in pieces of at most ``limit``, at a blank if one lies in the second half."""
+    while line:
+        end = limit
+        if len(line) > limit:
+            blank = line.rfind(" ", 0, limit)
+            end = blank + 1 if blank > limit // 2 else limit
+        piece = line[:end].strip()
+        if piece:
+            yield piece
+        line = line[end:]
+
+
+def _pack(pieces, sep: str, limit: int, target: int | None = None):
+    """Greedy runs of pieces: close before the limit would be passed, and once the target is reached."""
+    held, size = [], 0
+    for p in pieces:
+        if held and size + len(sep) + len(p) > limit:
+            yield sep.join(held)
+            held, size = [], 0
+        size += len(p) + (len(sep) if held else 0)
+        held.append(p)
+        if target is not None and size >= target:
+            yield sep.join(held)
+            held, size = [], 0
+    if held:
+        yield sep.join(held)
+
+
+def split_prose(text: Column, target: int = dims.TARGET_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS) -> Column:
+    """``ARRAY<STRING>`` of prose chunks: whole paragraphs, else whole lines, else cuts inside a line."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts.fillna(""):
+            chunks = []
+            for run_ in _pack([p.strip() for p in t.split("\n\n") if p.strip()], "\n\n", limit, target):
+                if len(run_) <= limit:
+                    chunks.append(run_)
+                    continue
+                for packed in _pack([ln.strip() for ln in run_.split("\n") if ln.strip()], "\n", limit):
+                    chunks.extend([packed] if len(packed) <= limit else _cut_line(packed, limit))
+            out.append(chunks)
+        return pd.Series(out)
+
+    return run(text)
+
+
+CHUNK_TYPE = "array<struct<anchor:string,item:string,type:string,table_scale:double,text:string>>"
+
+
+def merge_small(chunks: Column, min_chars: int = dims.MIN_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS) -> Column:
+    """Fold short prose chunks of a document into the prose chunk before them, same anchor, within the limit."""
+    def fold(done, c):
+        prev = F.element_at(done, -1)
+        fits = ((F.size(done) > 0) & (c["type"] == "prose") & (F.length(c["text"]) < min_chars)
+                & (prev["type"] == "prose") & prev["anchor"].eqNullSafe(c["anchor"])
+                & (F.length(prev["text"]) + 2 + F.length(c["text"]) <= limit))
+        joined = F.struct(prev["anchor"].alias("anchor"), prev["item"].alias("item"), prev["type"].alias("type"),
+                          prev["table_scale"].alias("table_scale"),
+                          F.concat(prev["text"], F.lit("\n\n"), c["text"]).alias("text"))
+        kept = F.slice(done, F.lit(1), F.size(done) - 1)
+        return F.when(F.coalesce(fits, F.lit(False)), F.concat(kept, F.array(joined))).otherwise(
+            F.concat(done, F.array(c)))
+
+    return F.aggregate(chunks, F.array().cast(CHUNK_TYPE), fold)
+
+
+def chunk_sectionaware(pages: DataFrame, keys: list[str], html: str = "html", required: list[str] | None = None,
+                       target: int = dims.TARGET_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS,
+                       min_chars: int = dims.MIN_CHUNK_CHARS) -> DataFrame:
+    """Section-aware chunks of every document, in order, with spans in the rebuilt text.
+
+    Prose between two tables or headings is packed together; tables stay whole. ``required`` anchors (pass
+    an empty list for none) are checked and their absence raises. All steps after extraction share one
+    shuffle by document.
+    """
+    segments = X.extract_segments(pages, keys, html)
+    rows = X.with_table_context(X.sectionize(X.segment_lines(segments, keys), keys), keys)
+    w = W.partitionBy(*keys).orderBy("seg_no", "line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_block", F.sum(F.when(F.col("kind") == "table", 1).otherwise(0)).over(w))
+    tables = X.table_chunks(rows, keys).select(
+        *keys, F.col("seg_no").alias("_seg"), F.col("line_no").alias("_line"), F.lit(0).alias("_part"), "anchor", "item",
+        "type", "table_scale", "text")
+    line = F.struct("seg_no", "line_no", "line")
+    prose = (rows.filter("kind = 'prose'").groupBy(*keys, "run", "_block")
+             .agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("item").alias("item"),
+                  F.first("item_anchor").alias("anchor"))
+             .select(*keys, F.col("lines")[0]["seg_no"].alias("_seg"), F.col("lines")[0]["line_no"].alias("_line"),
+                     "item", "anchor", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+             .select(*keys, "_seg", "_line", "item", "anchor",
+                     F.posexplode(split_prose(F.col("text"), target, limit)).alias("_part", "text"))
+             .select(*keys, "_seg", "_line", "_part", "anchor", "item", F.lit("prose").alias("type"),
+                     F.lit(None).cast("double").alias("table_scale"), "text"))
+    ordered = F.array_sort(F.collect_list(F.struct("_seg", "_line", "_part", F.struct(
+        "anchor", "item", "type", "table_scale", "text").alias("c"))))
+    whole = prose.unionByName(tables).groupBy(*keys).agg(ordered.alias("cs")).select(
+        *keys, F.transform("cs", lambda x: x["c"]).cast(CHUNK_TYPE).alias("cs"))
+    merged = (whole.select(*keys, F.posexplode(merge_small(F.col("cs"), min_chars, limit)).alias("chunk_no", "c"))
+              .select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"), "c.*"))
+    doc = W.partitionBy(*keys).orderBy("chunk_no")
+    out = (merged.withColumn("span_end", F.sum(F.length("text")).over(doc).cast("long"))
+           .withColumn("span_start", F.col("span_end") - F.length("text")))
+    required = dims.REQUIRED_ANCHORS if required is None else required
+    return X.assert_anchor_coverage(out, keys, required) if required else out
+
+
+def with_chunk_ids(chunks: DataFrame, strategy: str) -> DataFrame:
+    """Adds ``strategy`` and the readable chunk id of filings (ticker, period_end, chunk_no)."""
+    return chunks.withColumn("strategy", F.lit(strategy)).withColumn("chunk_id", F.concat(
+        F.lower("ticker"), F.lit("-10k-"), F.col("period_end").cast("string"), F.lit(f"-{strategy}-"),
+        F.format_string("%04d", F.col("chunk_no"))))
+
+
+def chunk_both(filings: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """Chunks of both strategies for filings (ticker, fiscal_year, period_end, html)."""
+    keys = ["ticker", "fiscal_year", "period_end"]
+    fixed = with_chunk_ids(chunk_fixed(X.extract_text(filings.select(*keys, "html")), keys), "fixedsize").withColumns({
+        "anchor": F.lit(None).cast("string"), "item": F.lit(None).cast("string"), "type": F.lit("prose"),
+        "table_scale": F.lit(None).cast("double")}).withColumns({
+            "span_start": F.col("span_start").cast("long"), "span_end": F.col("span_end").cast("long")})
+    aware = with_chunk_ids(chunk_sectionaware(filings, keys, required=required), "sectionaware")
+    return fixed.unionByName(aware).withColumn("page", F.lit(None).cast("int"))
