@@ -23,5 +23,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
-    for m in ("metrics", "changes", "retrieval", "corpus"):
+    for m in ("metrics", "changes", "retrieval", "corpus", "answers", "tuning"):
         importlib.import_module("redline.catalogue." + m)

@@ -19,7 +19,8 @@ _LOOK_BACK, _CHUNK_BACK = 50, 10
 _NEGATIVE = "|".join(rf"{w}[\s\S]{{0,{_LOOK_BACK - len(w)}}}" for w in dims.NEGATIVE_WORDS)
 _BODY = r"\$\s*\(\s*-?\s*[\d,]+(?:\.\d+)?\s*\)|\(\s*\$?\s*-?\s*[\d,]+(?:\.\d+)?\s*\)|-?\s*[\d,]+(?:\.\d+)?"
 _UNIT = r"percent|percentage|%|billions?|millions?|thousands?|trillions?|[bmkt]"
-_NUMBER = (rf"(?iU)(?:(?<=({_NEGATIVE})))?(?:(?<=(chunk[\s\S]{{0,{_CHUNK_BACK - len('chunk')}}})))?"
+# The look-ahead admits only places where a number can start, so the look-behinds stay rare.
+_NUMBER = (rf"(?iU)(?=[$(\-\d,]|\s+[\d,])(?:(?<=({_NEGATIVE})))?(?:(?<=(chunk[\s\S]{{0,{_CHUNK_BACK - len('chunk')}}})))?"
            rf"(\$?)((?:{_BODY}))(?:\s*({_UNIT}))?(?!\w)")
 
 
@@ -38,11 +39,11 @@ def extract_numbers(text: Column, table_scale: Column | None = None) -> Column:
     """
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _CITATION_LIST, ""), _CITATION_TAIL, "")
 
-    def group(i):
-        return F.regexp_extract_all(clean, F.lit(_NUMBER), F.lit(i))
-
-    hits = F.arrays_zip(group(1).alias("neg"), group(2).alias("chunk"), group(3).alias("dollar"),
-                        group(4).alias("body"), group(5).alias("unit"))
+    # One scan marks every number with its groups; odd pieces between the marks are the numbers.
+    marked = F.regexp_replace(F.translate(clean, "\x01\x02", "  "), _NUMBER, "\x01$1\x02$2\x02$3\x02$4\x02$5\x01")
+    pieces = F.filter(F.split(marked, "\x01"), lambda _, i: i % 2 == 1)
+    hits = F.transform(F.transform(pieces, lambda p: F.split(p, "\x02")), lambda g: F.struct(
+        g[0].alias("neg"), g[1].alias("chunk"), g[2].alias("dollar"), g[3].alias("body"), g[4].alias("unit")))
     bare_scale = F.coalesce(F.nullif(table_scale, F.lit(0.0)), F.lit(1.0)) if table_scale is not None else F.lit(1.0)
 
     # Staged transforms: each lambda variable holds one intermediate value, so nothing is recomputed.
