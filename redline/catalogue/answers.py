@@ -13,6 +13,7 @@ from redline.operators import evaluation as E
 from redline.operators import evidence as EV
 from redline.operators import responses as R
 from redline.operators import stats as S
+from redline.operators.once import compute_once
 
 # ---- routing: assistant turns, reworded so that every route occurs -------------------------------------------
 
@@ -79,8 +80,9 @@ def numeric_signal(spark, sf_dir):
 
     rows = documents(spark, sf_dir).select("doc_id", text(i % 97 + 1, F.lit(100)).alias("old_text"),
                                            text((i * 7) % 89 + 1, 100 + i % 60).alias("new_text"))
-    numbers = rows.select("doc_id", N.extract_numbers(F.col("old_text")).alias("o"), N.extract_numbers(F.col("new_text")).alias("n"))
-    return numbers.select("doc_id", N.move_signal(F.col("o"), F.col("n")).alias("s")).filter("s IS NOT NULL").select("doc_id", "s.*")
+    numbers = compute_once(rows, o=N.extract_numbers(F.col("old_text")), n=N.extract_numbers(F.col("new_text")))
+    moves = compute_once(numbers.select("doc_id", "o", "n"), s=N.move_signal(F.col("o"), F.col("n")))
+    return moves.filter("s IS NOT NULL").select("doc_id", "s.*")
 
 
 @register("document_numbers")

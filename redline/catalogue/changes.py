@@ -11,6 +11,7 @@ from redline.operators import changes as C
 from redline.operators import matching as M
 from redline.operators import pairing as P
 from redline.operators import stats as S
+from redline.operators.ranking import BLOCK, rank_within
 from redline.plans.change_report import align_corpus, diff_corpus
 
 SEP = "\n"  # the documents carry one paragraph per line
@@ -260,13 +261,11 @@ VEC_FLOOR, VEC_UNCHANGED, VEC_MINOR, VEC_MAJOR = 0.15, 0.35, 0.25, 0.15
 
 
 def _vector_sides(spark, sf_dir):
-    from pyspark.sql import Window as W
-    e = table(spark, sf_dir, "embeddings").select(
-        "label", "vec_id", (F.col("vec_id") % 2).alias("side"), F.col("embedding").cast("array<double>").alias("vector"))
-    # positions need ids only; the vectors join back by id
-    idx = F.row_number().over(W.partitionBy("label", "side").orderBy("vec_id")) - 1
-    placed = e.select("label", "side", "vec_id", idx.cast("long").alias("idx"))
-    e = e.select("vec_id", "vector").join(placed, "vec_id")
+    e = table(spark, sf_dir, "embeddings").withColumn("side", F.col("vec_id") % 2)
+    # positions need ids only and are counted block by block; the vectors join back by id
+    placed = rank_within(e.select("label", "side", "vec_id"), ["label", "side"], [F.col("vec_id")], "idx",
+                         levels=[F.floor(F.col("vec_id") / BLOCK)])
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).join(placed, "vec_id")
     return tuple(e.filter(F.col("side") == s).select("label", "idx", "vector", "vec_id") for s in (0, 1))
 
 

@@ -49,7 +49,7 @@ def vector_topk(spark, sf_dir):
 def vector_topk_slabs(spark, sf_dir):
     """The same result by the path for query sets too large to share with every executor."""
     asks, corpus = _split(spark, sf_dir)
-    return V.vector_topk(asks, corpus, dims.TOP_K_RETRIEVE, max_shared_values=64 * 8).drop("distance")
+    return V.vector_topk(asks, corpus, dims.TOP_K_RETRIEVE, max_shared_rows=8).drop("distance")
 
 
 @register("vector_topk_lsh")
@@ -63,9 +63,9 @@ def _with_anchors(spark, sf_dir, hits):
     return hits.join(corpus.select("chunk_id", "anchor"), "chunk_id").join(asks.select("query_id", "gold"), "query_id")
 
 
-def _reranked(hits):
+def _reranked(hits, k=dims.TOP_K_FINAL):
     bonus = F.when(F.col("anchor") == F.col("gold"), 0.1).otherwise(0.0)
-    return V.rerank(hits, F.round(F.col("similarity") + bonus, 9))
+    return V.rerank(hits, F.round(F.col("similarity") + bonus, 9), k)
 
 
 _RERANK_SQL = f"""{_TOPK_SQL},
@@ -187,9 +187,12 @@ def _results(spark, sf_dir, k=dims.TOP_K_FINAL):
     """Scored rows of the whole matrix: one retrieval serves all configurations, reranked or not."""
     asks, _ = _split(spark, sf_dir)
     hits = _with_anchors(spark, sf_dir, _hits(spark, sf_dir))
-    cols = ["query_id", "rank", "anchor"]
-    kept = (hits.filter(F.col("rank") <= k).select(*cols, F.lit("off").alias("rerank"))
-            .unionByName(_reranked(hits).select(*cols, F.lit("on").alias("rerank"))))
+    # both orders of the same hits: one scan of the corpus, then one row per order
+    orders = F.explode(F.array(F.struct(F.lit("off").alias("rerank"), F.col("first_rank").alias("rank"), F.lit(k).alias("k")),
+                               F.struct(F.lit("on").alias("rerank"), F.col("rank").alias("rank"),
+                                        F.lit(dims.TOP_K_FINAL).alias("k")))).alias("o")
+    kept = (_reranked(hits, dims.TOP_K_RETRIEVE).select("query_id", "anchor", orders).filter("o.rank <= o.k")
+            .select("query_id", "anchor", "o.rank", "o.rerank"))
     matrix = _run_matrix(spark, asks).select("config", "rerank", F.col("question_id").alias("query_id"))
     per_config = _spanless(matrix.join(kept, ["query_id", "rerank"]))
     gold = matrix.select("config", "query_id").join(_gold(spark, asks), "query_id")

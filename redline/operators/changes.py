@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from redline import dims
 from redline.functions.numbers import extract_numbers, move_signal
+from redline.operators.once import compute_once
 from redline.operators.pairing import PAIR
 from redline.operators.ranking import BLOCK, rank_within
 
@@ -42,12 +43,12 @@ def classify(aligned: DataFrame, **thresholds) -> DataFrame:
     by_similarity = F.when(F.col("kind") == "matched", classify_similarity(F.col("similarity"), **thresholds)).otherwise(
         F.col("kind"))
     suspect = (F.col("_class") == "unchanged") & (F.col("old_text") != F.col("new_text"))
-    return (aligned.withColumn("_class", by_similarity)
-            .withColumn("_old_numbers", F.when(suspect, extract_numbers(F.col("old_text"))))
-            .withColumn("_new_numbers", F.when(suspect, extract_numbers(F.col("new_text"))))
-            .withColumn("_move", move_signal(F.col("_old_numbers"), F.col("_new_numbers")))
-            .withColumn("classification", F.when(F.col("_move").isNotNull(), guard_class(F.col("_move.pct")))
-                        .otherwise(F.col("_class")))
+    rows = aligned.withColumn("_class", by_similarity)
+    rows = compute_once(rows, _old_numbers=F.when(suspect, extract_numbers(F.col("old_text"))),
+                        _new_numbers=F.when(suspect, extract_numbers(F.col("new_text"))))
+    rows = compute_once(rows, _move=move_signal(F.col("_old_numbers"), F.col("_new_numbers")))
+    return (rows.withColumn("classification", F.when(F.col("_move").isNotNull(), guard_class(F.col("_move.pct")))
+                            .otherwise(F.col("_class")))
             .withColumn("numeric_guard", F.when(F.col("_move").isNotNull(), F.struct(
                 F.lit("text").alias("source"), F.lit(None).cast("string").alias("tag"), F.col("_move.old").alias("old"),
                 F.col("_move.new").alias("new"), F.col("_move.pct").alias("pct"))).cast(GUARD_TYPE))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redline import dims
 from redline.functions import answers as A
 from redline.functions.numbers import extract_numbers, numeric_match
+from redline.operators.once import compute_once
 
 RUN_KEY = ["config", "question_id"]
 
@@ -62,15 +63,14 @@ def score_answers(questions: DataFrame, retrieval: DataFrame, answers: DataFrame
     rows = retrieval.join(questions, "question_id").join(answers, RUN_KEY, "left")
     rows = rows.join(scales, RUN_KEY, "left") if scales is not None else rows.withColumn(
         "table_scale", F.lit(None).cast("double"))
-    chosen = A.choose_answer(F.col("answer"), F.col("web_answer"), F.col("expected_route"), gate)
-    rows = (rows.withColumn("_c", chosen).withColumn("final_answer", F.col("_c.answer"))
-            .withColumn("provenance", F.col("_c.provenance"))
-            .withColumn("route_result", A.route_result(F.col("final_answer"), F.col("expected_route")))
-            .withColumn("_numbers", F.when(F.col("question_type") == "numerical",
-                                           extract_numbers(F.col("final_answer"), F.col("table_scale"))))
-            .withColumn("numeric_match", F.when(
-                (F.col("question_type") == "numerical") & F.col("gold_value").isNotNull(),
-                numeric_match(F.col("_numbers"), F.col("gold_value")))))
+    rows = compute_once(rows, _c=A.choose_answer(F.col("answer"), F.col("web_answer"), F.col("expected_route"), gate))
+    rows = rows.withColumns({"final_answer": F.col("_c.answer"), "provenance": F.col("_c.provenance")})
+    rows = compute_once(
+        rows, route_result=A.route_result(F.col("final_answer"), F.col("expected_route")),
+        _numbers=F.when(F.col("question_type") == "numerical", extract_numbers(F.col("final_answer"), F.col("table_scale"))))
+    rows = rows.withColumn("numeric_match", F.when(
+        (F.col("question_type") == "numerical") & F.col("gold_value").isNotNull(),
+        numeric_match(F.col("_numbers"), F.col("gold_value"))))
     args = [F.col(c) for c in ("question_type", "expected_route", "route_result", "retrieval_hit", "numeric_match")]
     qtype, expected, route, hit, num = args
     rows = rows.withColumn("joint_correct", A.joint_correct(expected, qtype, route, hit, num))

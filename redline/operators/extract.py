@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from redline import dims
 from redline.functions.headings import detect_heading, scale_factor, section_anchor, table_anchor
 from redline.functions.text import collapse_spaces, squeeze_blank_lines, strip, strip_noise_lines
+from redline.operators.once import compute_once
 from redline.sources import html as H
 
 CONTEXT_CHARS = 3000
@@ -61,22 +62,26 @@ def segment_lines(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Prose one row per line, tables one row each, with the heading line (if any) the row brings along."""
     pieces = F.when(F.col("kind") == "table", F.array("text")).otherwise(F.split("text", "\n"))
     lines = segments.select(*keys, "seg_no", "kind", F.posexplode(pieces).alias("line_no", "line"))
-    # a table opens a section with the first of its lines that is a heading
-    in_table = F.filter(F.transform(F.split("line", "\n"), strip), lambda x: detect_heading(x).isNotNull())
-    own = F.when(F.col("kind") == "table", F.get(in_table, F.lit(0))).otherwise(
-        F.when(detect_heading(F.col("line")).isNotNull(), strip(F.col("line"))))
-    return lines.withColumn("heading", own)
+    # a table opens a section with the first of its lines that is a heading; prose rows have one line
+    candidates = F.transform(F.transform(F.split("line", "\n"), strip),
+                             lambda x: F.struct(x.alias("line"), detect_heading(x).alias("anchor")))
+    own = F.get(F.filter(candidates, lambda c: c["anchor"].isNotNull()), F.lit(0))
+    found = compute_once(lines, _found=own)
+    return found.withColumns({"heading": F.col("_found.line"), "heading_anchor": F.col("_found.anchor")}).drop("_found")
 
 
 def sectionize(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Adds item (last heading seen), item_anchor and run (consecutive rows under one item)."""
     w = W.partitionBy(*keys).orderBy("seg_no", "line_no")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = lines.withColumn("item", F.last("heading", ignorenulls=True).over(upto))
+    # the anchor of a section is worked out once, on its heading row, and carried along with it
+    opened = compute_once(lines, _own_anchor=F.when(
+        F.col("heading").isNotNull(), section_anchor(F.col("heading"), F.col("heading_anchor"))))
+    out = opened.withColumn("item", F.last("heading", ignorenulls=True).over(upto))
     turned = (~F.col("item").eqNullSafe(F.lag("item").over(w))).cast("int")
     return (out.withColumn("_turn", turned).withColumn("run", F.sum("_turn").over(upto)).drop("_turn")
-            .withColumn("_detected", detect_heading(F.col("item")))
-            .withColumn("item_anchor", section_anchor(F.col("item"), F.col("_detected"))).drop("_detected"))
+            .withColumn("item_anchor", F.last("_own_anchor", ignorenulls=True).over(upto))
+            .withColumn("item_anchor", F.coalesce("item_anchor", F.lit("item1_business"))).drop("_own_anchor", "heading_anchor"))
 
 
 def _visible(line, start, end):

@@ -35,6 +35,9 @@ def greedy_pairs(old: np.ndarray, new: np.ndarray, floor: float):
     rows, cols = np.arange(len(old)), np.arange(len(new))
     out = []
     sims = np.round(old @ new.T, DIGITS) if len(old) and len(new) else np.zeros((0, 0))
+    # a row or column without a candidate can never match
+    keep_r, keep_c = (sims >= floor).any(axis=1), (sims >= floor).any(axis=0)
+    sims, rows, cols = sims[np.ix_(keep_r, keep_c)], rows[keep_r], cols[keep_c]
     while sims.size:
         best_new, best_old = sims.argmax(axis=1), sims.argmax(axis=0)  # first maximum = smallest position
         here = np.arange(len(rows))

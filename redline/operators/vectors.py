@@ -19,25 +19,37 @@ Embedder = Callable[[list[str]], np.ndarray]
 DIGITS = 9  # similarities are compared after rounding, so results do not depend on summation order
 
 
+_SLOTS: dict[int, dict[str, int]] = {}  # token slots a worker process has already worked out, per dimension
+
+
 def hashed_embedder(dim: int = 128) -> Embedder:
-    """Deterministic bag of blank-separated tokens, each hashed to one of ``dim`` <= 256 slots, unit length."""
-    slots: dict[str, int] = {}
+    """Deterministic bag of blank-separated tokens, each hashed to one of ``dim`` <= 256 slots, unit length.
+
+    Splitting and counting are vectorised; only distinct tokens are hashed one by one.
+    """
+    known = _SLOTS.setdefault(dim, {"": -1})
 
     def slot(token: str) -> int:
-        got = slots.get(token)
+        got = known.get(token)
         if got is None:
-            if len(slots) > 500_000:
-                slots.clear()
-            got = slots[token] = hashlib.md5(token.encode()).digest()[0] % dim
+            if len(known) > 1_000_000:
+                known.clear()
+                known[""] = -1
+            got = known[token] = hashlib.md5(token.encode()).digest()[0] % dim
         return got
 
     def embed_texts(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            hits = [slot(t) for t in text.split(" ") if t]
-            if hits:
-                out[row] = np.bincount(hits, minlength=dim)
-        return unit_rows(out)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        tokens = lists.flatten().dictionary_encode()
+        by_code = np.fromiter(map(slot, tokens.dictionary.to_pylist()), dtype=np.int64, count=len(tokens.dictionary))
+        slots = by_code[tokens.indices.to_numpy()] if len(tokens) else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        used = slots >= 0
+        counts = np.bincount(rows[used] * dim + slots[used], minlength=len(texts) * dim)
+        return unit_rows(counts.reshape(len(texts), dim).astype("float64"))
 
     return embed_texts
 
@@ -108,7 +120,7 @@ def with_config_id(df: DataFrame) -> DataFrame:
 
 # ---- top-k ------------------------------------------------------------------------------------------
 
-MAX_SHARED_QUERY_VALUES = 8_000_000  # 64 MB of doubles per executor
+MAX_SHARED_QUERIES = 8192  # 64 MB per executor at 1024 dimensions
 
 
 def _top_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -123,7 +135,7 @@ def _top_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRIEVE, query_id: str = "query_id",
                 corpus_id: str = "chunk_id", vector: str = "vector", lsh: dict | None = None,
-                max_shared_values: int = MAX_SHARED_QUERY_VALUES) -> DataFrame:
+                max_shared_rows: int = MAX_SHARED_QUERIES) -> DataFrame:
     """Exact top-k corpus rows per query: (query_id, corpus_id, similarity, distance, rank).
 
     The corpus is scanned in place and never shuffled: each task multiplies its batches with the query
@@ -133,20 +145,16 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRI
     """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
-    dim = q.select(F.size("v")).first()
-    if dim is None:
-        dim = (1,)
-    limit = max(1, max_shared_values // max(1, dim[0]))
-    head = q.limit(limit + 1).toArrow()
+    head = q.limit(max_shared_rows + 1).toArrow()  # bounded look at the queries
     q_type = q.schema["q"].dataType.simpleString()
     c_type = corpus.schema[corpus_id].dataType.simpleString()
     c = corpus.select(F.col(corpus_id).alias("c"), F.col(vector).alias("v"))
     schema = f"q {q_type}, c {c_type}, similarity double"
-    if head.num_rows <= limit:
+    if head.num_rows <= max_shared_rows:
         shared = spark.sparkContext.broadcast((head["q"].to_numpy(), as_matrix(head["v"])))
         partial = c.mapInArrow(_scan_kernel(shared, k, lsh), schema)
     else:
-        partial = _slab_join(q, c, k, limit, lsh, schema)
+        partial = _slab_join(q, c, k, max_shared_rows, lsh, schema)
     best = top_per_key(partial, ["q"], [F.col("similarity").desc(), F.col("c")], k)
     return best.select(F.col("q").alias(query_id), F.col("c").alias(corpus_id), "similarity",
                        (1 - F.col("similarity")).alias("distance"), "rank")
