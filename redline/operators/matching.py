@@ -89,7 +89,7 @@ def align_bounded(sides: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys:
             cache["model"] = factory()
         return cache["model"](pdf["text"].tolist())
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
         o, n = pdf[pdf["side"] == "old"], pdf[pdf["side"] == "new"]
         i, j, s = greedy_pairs(vectors(o), vectors(n), floor) if len(o) and len(n) else (np.array([], int),) * 2 + (
