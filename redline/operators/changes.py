@@ -89,11 +89,12 @@ def assign_change_ids(records: DataFrame, keys: list[str] = PAIR, bounded_sectio
     levels = None if bounded_sections else [
         kind * 10_000 + F.floor(fall * 1000), fall, F.floor(position / BLOCK)]
     stem = F.concat_ws("-", "ticker", "anchor", "y_old", "y_new")
-    # unchanged rows share one id and take no number, so they never enter the ranking
-    changed = rank_within(records.filter(is_changed()), keys, order, "change_seq", levels).withColumn(
-        "change_id", F.concat(stem, F.lit("-"), _padded(F.col("change_seq"))))
-    same = records.filter(~is_changed()).withColumns({"change_seq": F.lit(None).cast("long"), "change_id": stem})
-    return changed.unionByName(same)
+    # unchanged rows share one id and take no number: they are ranked apart and their rank is dropped,
+    # which keeps the records in one pass
+    ranked = rank_within(records.withColumn("_changed", is_changed()), [*keys, "_changed"], order, "change_seq", levels)
+    seq = F.when(F.col("_changed"), F.col("change_seq"))
+    return ranked.withColumn("change_seq", seq).withColumn("change_id", F.when(
+        F.col("_changed"), F.concat(stem, F.lit("-"), _padded(F.col("change_seq")))).otherwise(stem)).drop("_changed")
 
 
 def _padded(seq: Column) -> Column:
@@ -138,9 +139,11 @@ def word_delta_multiset(pairs: DataFrame, keys: list[str], old: str = "old_text"
     Counting is map-side combined, so neither long texts nor very common tokens gather anywhere.
     """
     def side(c, sign):
-        return pairs.select(*keys, F.explode(F.regexp_extract_all(F.col(c), F.lit(token), F.lit(0))).alias("token"),
-                            F.lit(sign).alias("sign"))
-    net = side(old, -1).unionAll(side(new, 1)).groupBy(*keys, "token").agg(F.sum("sign").alias("net"))
+        return F.transform(F.regexp_extract_all(F.col(c), F.lit(token), F.lit(0)),
+                           lambda t: F.struct(t.alias("token"), F.lit(sign).alias("sign")))
+    # both sides leave the same row, so the pairs are computed once
+    net = (pairs.select(*keys, F.explode(F.concat(side(old, -1), side(new, 1))).alias("t"))
+           .groupBy(*keys, "t.token").agg(F.sum("t.sign").alias("net")))
     return net.filter("net <> 0").select(*keys, "token", F.greatest("net", F.lit(0)).alias("n_added"),
                                          F.greatest(-F.col("net"), F.lit(0)).alias("n_removed"))
 

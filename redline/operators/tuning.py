@@ -40,8 +40,9 @@ def evaluate_grid(labels: DataFrame, grid: list[tuple[float, float]], classes: l
     # the largest cut not above the similarity stands for it: every threshold compares the same way
     counted = (labels.withColumn("level", F.coalesce(F.array_max(at_or_below), F.lit(-1.0)))
                .groupBy("level", "label").agg(F.count(F.lit(1)).alias("n")))
-    points = F.array(*[F.struct(F.lit(i).alias("grid_order"), F.lit(u).alias("unchanged"), F.lit(m).alias("minor"))
-                       for i, (u, m) in enumerate(grid)])
+    # one literal array; built as text because hundreds of column objects cost more than the query
+    points = F.expr("array(" + ", ".join(f"named_struct('grid_order', {i}, 'unchanged', {u}D, 'minor', {m}D)"
+                                         for i, (u, m) in enumerate(grid)) + ")")
     met = counted.select("level", "label", "n", F.explode(points).alias("g")).select("level", "label", "n", "g.*")
     met = met.withColumn("predicted", classify_with(F.col("level"), F.col("unchanged"), F.col("minor")))
     sums = []

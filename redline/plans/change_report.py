@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redline import dims
 from redline.operators import changes, matching
 from redline.operators.pairing import PAIR, explode_paragraphs, paired_sides, section_sizes, year_pairs
+from redline.session import cut_lineage
 
 
 def pair_side_sizes(docs: DataFrame, pairs: DataFrame, sep: str) -> DataFrame:
@@ -39,4 +40,6 @@ def diff_corpus(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n", mod
     ``signal`` feeds the metric guard. ``pairs`` overrides which years are compared.
     """
     aligned, bounded = align_corpus(docs, order, sep, model_key, floor, pairs)
+    if not bounded:
+        aligned = cut_lineage(aligned)  # numbering very large sections reads the alignment twice
     return changes.diff_records(aligned, signal, bounded_sections=bounded, with_words=with_words, **thresholds)
