@@ -39,25 +39,34 @@ def section_pairs(docs: DataFrame) -> DataFrame:
                            .otherwise("both"))
 
 
-def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n") -> DataFrame:
+def paragraph_counts(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n") -> DataFrame:
+    """(ticker, fiscal_year, anchor, order, n): paragraphs per chunk, the only thing numbering needs to know."""
+    return with_known_anchor(docs).select(*SECTION, order, F.size(paragraphs(F.col("text"), sep)).cast("long").alias("n"))
+
+
+def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n",
+                       counts: DataFrame | None = None) -> DataFrame:
     """Paragraphs of every section, numbered from 0 in section order.
 
     A section's text is its chunks in ``order``; since chunks are joined by blank lines, each chunk can be
     split on its own and only its paragraph *count* has to travel to number the section. Sections of any
-    size stay spread over the cluster.
+    size stay spread over the cluster. Pass stored ``counts`` to save a pass over the texts.
     """
-    docs = with_known_anchor(docs)
-    counts = docs.select(*SECTION, order, F.size(paragraphs(F.col("text"), sep)).cast("long").alias("n"))
+    counts = paragraph_counts(docs, order, sep) if counts is None else counts
     bases = prefix_sums(counts, SECTION, order, "n").select(*SECTION, order, "base")
-    return (docs.select(*SECTION, order, "text").join(bases, [*SECTION, order])
+    return (with_known_anchor(docs).select(*SECTION, order, "text").join(bases, [*SECTION, order])
             .select(*SECTION, order, "base", F.posexplode(paragraphs(F.col("text"), sep)).alias("pos", "text"))
             .select(*SECTION, (F.col("base") + F.col("pos")).alias("idx"), order, "text"))
 
 
-def section_sizes(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
-    """(ticker, fiscal_year, anchor, n): paragraph counts without exploding any text."""
-    return with_known_anchor(docs).groupBy(*SECTION).agg(
-        F.sum(F.size(paragraphs(F.col("text"), sep))).alias("n"))
+def pair_side_sizes(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ticker, y_old, y_new, anchor, n_old, n_new) from chunk-level counts."""
+    sized = paired_sides(counts.groupBy(*SECTION).agg(F.sum("n").alias("n")), pairs)
+
+    def n(side):
+        return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n_{side}")
+
+    return sized.groupBy(*PAIR).agg(n("old"), n("new"))
 
 
 def paired_sides(paras: DataFrame, pairs: DataFrame) -> DataFrame:

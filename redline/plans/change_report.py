@@ -3,43 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from redline import dims
 from redline.operators import changes, matching
-from redline.operators.pairing import PAIR, explode_paragraphs, paired_sides, section_sizes, year_pairs
+from redline.operators.pairing import (explode_paragraphs, pair_side_sizes, paired_sides, paragraph_counts,
+                                       year_pairs)
 from redline.session import cut_lineage
 
 
-def pair_side_sizes(docs: DataFrame, pairs: DataFrame, sep: str) -> DataFrame:
-    """(ticker, y_old, y_new, anchor, n_old, n_new) from chunk-level counts; no text is exploded."""
-    sized = paired_sides(section_sizes(docs, sep), pairs)
-
-    def n(side):
-        return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n_{side}")
-
-    return sized.groupBy(*PAIR).agg(n("old"), n("new"))
-
-
 def align_corpus(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n", model_key: str = "hashed",
-                 floor: float = dims.SIMILARITY_FLOOR, pairs: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Aligned paragraph texts of every section pair, and whether every section fitted one task."""
-    pairs = year_pairs(docs) if pairs is None else pairs
-    paras = explode_paragraphs(docs, order, sep)
+                 floor: float = dims.SIMILARITY_FLOOR, pairs: DataFrame | None = None,
+                 limits: dict | None = None) -> tuple[DataFrame, bool]:
+    """Aligned paragraph texts of every section pair, and whether every section fitted one task.
+
+    The texts are read twice: once for paragraph counts, kept as a slim table that yields the year pairs,
+    the size check and the numbering, and once for the alignment itself.
+    """
+    counts = cut_lineage(paragraph_counts(docs, order, sep))
+    pairs = year_pairs(counts) if pairs is None else pairs
+    large = matching.large_sections(pair_side_sizes(counts, pairs), **(limits or {}))
+    paras = explode_paragraphs(docs, order, sep, counts)
     sides = paired_sides(paras.select("ticker", "fiscal_year", "anchor", "idx", "text"), pairs)
-    large = matching.large_sections(pair_side_sizes(docs, pairs, sep))
     return matching.align_sides(sides, floor, model_key=model_key, large=large), large is None
 
 
 def diff_corpus(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n", model_key: str = "hashed",
                 floor: float = dims.SIMILARITY_FLOOR, signal: DataFrame | None = None, pairs: DataFrame | None = None,
-                with_words: bool = True, **thresholds) -> DataFrame:
+                with_words: bool = True, limits: dict | None = None, **thresholds) -> DataFrame:
     """Change records of every consecutive year pair of every ticker.
 
     ``docs`` is (ticker, fiscal_year, anchor, ``order``, text): section chunks or whole section texts.
-    ``signal`` feeds the metric guard. ``pairs`` overrides which years are compared.
+    ``signal`` feeds the metric guard. ``pairs`` overrides which years are compared, ``limits`` what one
+    task may hold (``max_cells``, ``max_side``).
     """
-    aligned, bounded = align_corpus(docs, order, sep, model_key, floor, pairs)
+    aligned, bounded = align_corpus(docs, order, sep, model_key, floor, pairs, limits)
     if not bounded:
         aligned = cut_lineage(aligned)  # numbering very large sections reads the alignment twice
     return changes.diff_records(aligned, signal, bounded_sections=bounded, with_words=with_words, **thresholds)

@@ -126,9 +126,12 @@ def test_diff_of_a_small_corpus_covers_both_sides_once(spark):
     assert [(r.y_old, r.anchor, r.classification) for r in got] == [
         ("FY1", "a", "unchanged"), ("FY1", "a", "added"), ("FY1", "a", "removed"), ("FY1", "unknown", "added"),
         ("FY2", "a", "unchanged"), ("FY2", "a", "removed"), ("FY2", "unknown", "removed")]
+    # sections beyond the per-task bound take the distributed path and give the same records
+    large = diff_corpus(df, limits={"max_cells": 0}).orderBy("y_old", "anchor", "change_id").collect()
+    assert [r.asDict(True) for r in large] == [r.asDict(True) for r in got]
     # the result does not depend on how the rows arrive
     again = diff_corpus(df.repartition(7).orderBy(F.rand(3))).orderBy("y_old", "anchor", "change_id").collect()
-    assert [r.change_id for r in again] == [r.change_id for r in got]
+    assert [(r.change_id, r.old_text, r.new_text) for r in again] == [(r.change_id, r.old_text, r.new_text) for r in got]
 
 
 def test_retrieval_score(spark):
