@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,26 @@ def build_session(app: str = "redline", master: str | None = None, shuffle_parti
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-redline-", dir="/tmp")) / "redline.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(target))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
