@@ -267,3 +267,28 @@ def validated_responses(spark, sf_dir):
     changes = _changes(spark, sf_dir)
     rows = _response_text(changes, False).select(F.explode(R.parse_responses(F.col("text"))).alias("r")).select("r.*")
     return R.validate_responses(rows, changes).select("change_id", "ok", "error")
+
+
+@register("vote_report", """WITH v AS (SELECT source, 2 * count(*) FILTER (quality = 1) > count(*) AS f, count(DISTINCT quality) > 1 AS d
+  FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT count(*) AS judged, count(*) FILTER (f) AS faithful, count(*) FILTER (d) AS disagreed FROM v""")
+def vote_report(spark, sf_dir):
+    return E.vote_report(majority_vote(spark, sf_dir))
+
+
+@register("guarded_evidence", f"""WITH {_POOL_SQL}
+SELECT ticker, chapter, label, change_id, CASE WHEN doc_id % 5 = 0 THEN doc_id / 100.0 END AS guard_pct FROM pool""")
+def guarded_evidence(spark, sf_dir):
+    rows = _interpretations(spark, sf_dir)
+    guard = F.struct(F.lit("text").alias("source"), (F.col("doc_id") / 100.0).alias("pct"))
+    diffs = rows.select("change_id", F.when(F.col("doc_id") % 5 == 0, guard).alias("numeric_guard"))
+    pool = EV.evidence_pool(rows)
+    return R.attach_guard(pool, diffs).select("ticker", "chapter", "label", "change_id", F.col("numeric_guard.pct").alias("guard_pct"))
+
+
+@register("cited_scale", """WITH h AS (SELECT conv_id, turn + 1 AS rank, CASE WHEN turn % 2 = 1 THEN conv_id % 4 * 1000.0 END AS table_scale FROM conversations)
+SELECT conv_id, min_by(table_scale, rank) FILTER (rank <= 3 AND table_scale <> 0) AS table_scale FROM h GROUP BY conv_id""")
+def cited_scale(spark, sf_dir):
+    hits = table(spark, sf_dir, "conversations").select(
+        "conv_id", (F.col("turn") + 1).alias("rank"), F.when(F.col("turn") % 2 == 1, F.col("conv_id") % 4 * 1000.0).alias("table_scale"))
+    return E.cited_scale(hits, ["conv_id"])

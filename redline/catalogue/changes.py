@@ -10,6 +10,7 @@ from redline.catalogue.views import DOCS_SQL, FILING_YEARS, documents, table
 from redline.operators import changes as C
 from redline.operators import matching as M
 from redline.operators import pairing as P
+from redline.operators import responses as R
 from redline.operators import stats as S
 from redline.operators.ranking import BLOCK, rank_within
 from redline.plans.change_report import align_corpus, diff_corpus
@@ -233,6 +234,25 @@ def change_ids(spark, sf_dir):
         "ticker", "anchor", "y_old", "y_new", "old_idx", "new_idx", "change_seq", "change_id")
 
 
+def _cut_sql(c):
+    """A text cut to 500 characters at the last blank."""
+    return (f"CASE WHEN length({c}) <= 500 THEN {c} WHEN strpos(reverse(substr({c}, 1, 500)), ' ') BETWEEN 1 AND 499 "
+            f"THEN substr({c}, 1, 500 - strpos(reverse(substr({c}, 1, 500)), ' ')) ELSE substr({c}, 1, 500) END")
+
+
+@register("batches", f"""WITH RECURSIVE {_RECORDS_SQL}, seqs AS (
+  SELECT *, row_number() OVER (PARTITION BY ticker, y_old, y_new, anchor
+    ORDER BY CASE kind WHEN 'matched' THEN 0 WHEN 'added' THEN 1 ELSE 2 END, -similarity,
+             CASE kind WHEN 'added' THEN new_idx ELSE old_idx END) - 1 AS seq
+  FROM classed WHERE classification <> 'unchanged')
+SELECT ticker, y_old, y_new, anchor, ticker || '-' || anchor || '-' || y_old || '-' || y_new || '-' || format('{{:03d}}', seq) AS change_id,
+       seq AS change_seq, seq // 5 AS batch_no, classification, {_cut_sql("old_text")} AS old_text, {_cut_sql("new_text")} AS new_text
+FROM seqs""")
+def batches(spark, sf_dir):
+    rows, bounded = align_corpus(documents(spark, sf_dir), "doc_id", SEP)
+    return R.assign_batches(C.assign_change_ids(_by_similarity(rows), bounded_sections=bounded))
+
+
 @register("change_ids_by_block", ORACLES["change_ids"])
 def change_ids_by_block(spark, sf_dir):
     """The same numbering block by block, the way of sections too large for one task."""

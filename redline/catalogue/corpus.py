@@ -12,6 +12,7 @@ from redline.functions import text as T
 from redline.operators import chunking as CH
 from redline.operators import extract as X
 from redline.operators.ranking import top_per_key
+from redline.operators.series import gold_span
 from redline.session import spread
 
 
@@ -144,3 +145,16 @@ def new_docs(spark, sf_dir):
     from redline.streaming.ingest import unseen
     docs, seen = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return unseen(docs, seen, ["doc_id"]).select("doc_id", "source", F.length("text").alias("n"))
+
+
+@register("gold_spans", """WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Consolidated Balance Sheet ' WHEN 1 THEN
+    ' CONSOLIDATED BALANCE SHEETS and consolidated balance sheet ' ELSE '' END || text AS text FROM documents),
+s AS (SELECT doc_id, strpos(upper(text), CASE doc_id % 3 WHEN 0 THEN 'CONSOLIDATED BALANCE SHEET' ELSE 'CONSOLIDATED BALANCE SHEETS' END) - 1 AS a,
+             length(text) AS n FROM t WHERE doc_id % 3 < 2)
+SELECT doc_id, a AS span_start, least(a + 4000, n) AS span_end FROM s""")
+def gold_spans(spark, sf_dir):
+    i = F.col("doc_id") % 3
+    text = F.concat("text", F.when(i == 0, " Consolidated Balance Sheet ").when(
+        i == 1, " CONSOLIDATED BALANCE SHEETS and consolidated balance sheet ").otherwise(""), "text")
+    spans = documents(spark, sf_dir).select("doc_id", gold_span(text, F.lit("balance_sheet")).alias("s"))
+    return spans.filter("s IS NOT NULL").select("doc_id", F.col("s")[0].alias("span_start"), F.col("s")[1].alias("span_end"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redline.catalogue import register
-from redline.catalogue.views import ANNUAL_SQL, FACT_YEARS, FACTS_SQL, YEARS_SQL, facts
+from redline.catalogue.views import ANNUAL_SQL, FACT_YEARS, FACTS_SQL, YEARS_SQL, facts, table
+from redline.functions.money import fmt_money
+from redline.operators import evaluation as E
 from redline.operators import series as S
 
 # The metric tags of the driver tables and the sections they are filed under.
@@ -160,3 +162,27 @@ def generated_questions(spark, sf_dir):
     out = S.generate_questions(renamed, docs, limit=20)
     return out.select("id", "question", "type", "expected_route", F.col("gold_chunks")[0].alias("gold_anchor"),
                       F.col("answer.value").alias("gold_value"))
+
+
+@register("money_format", f"""WITH v AS (SELECT o_orderkey, (o_totalprice - 200000) * pow(1000, o_orderkey % 4) AS value FROM orders)
+SELECT o_orderkey, {_MONEY_SQL} AS shown FROM v""")
+def money_format(spark, sf_dir):
+    value = (F.col("o_totalprice") - 200000) * F.pow(F.lit(1000.0), F.col("o_orderkey") % 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", fmt_money(value).alias("shown"))
+
+
+@register("section_deltas", f"""WITH {_DELTAS_SQL}, {_TAGS_SQL}
+SELECT ticker, anchor, tag, y_old, y_new, pct_change FROM deltas JOIN tags USING (tag)""")
+def section_deltas(spark, sf_dir):
+    return S.section_deltas(yoy_deltas(spark, sf_dir), _tags(spark)).select("ticker", "anchor", "tag", "y_old", "y_new", "pct_change")
+
+
+@register("union_questions", f"""WITH {ANNUAL_SQL}
+SELECT ticker || '-' || tag || '-' || fy AS id, 'numerical' AS type, value AS gold FROM annual
+UNION ALL SELECT 'item-' || item_id, 'factual', NULL FROM benchmark""")
+def union_questions(spark, sf_dir):
+    generated = _annual(spark, sf_dir).select(F.concat_ws("-", "ticker", "tag", "fy").alias("id"),
+                                              F.lit("numerical").alias("type"), F.col("value").alias("gold"))
+    curated = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id")).alias("id"),
+                                                       F.lit("factual").alias("type"), F.col("text").alias("_note"))
+    return E.union_questions(generated, curated)

@@ -182,9 +182,9 @@ def generate_questions(facts: DataFrame, docs: DataFrame, tags: list[str] | None
 
 def gold_span(text: Column, anchor: Column, size: int = dims.GOLD_SPAN_CHARS) -> Column:
     """0-based half-open span starting at the first statement heading found, tried in order."""
-    upper = F.upper(text)
     start = F.lit(None).cast("int")
     for name, headings in dims.STATEMENT_HEADINGS.items():
-        found = F.coalesce(*[F.nullif(F.instr(upper, h), F.lit(0)) for h in headings])
+        # matched in the text itself: changing its case could move positions
+        found = F.coalesce(*[F.nullif(F.regexp_instr(text, F.lit(rf"(?i)\Q{h}\E")), F.lit(0)) for h in headings])
         start = F.when(anchor == name, found - 1).otherwise(start)
     return F.when(start.isNotNull(), F.array(start, F.least(start + size, F.length(text))))
