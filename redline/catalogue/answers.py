@@ -54,18 +54,21 @@ def chosen_answer(spark, sf_dir):
         F.col("answer"), second, F.col("expected_route")).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@register("answer_numbers", """SELECT conv_id, turn, CASE WHEN conv_id BETWEEN 1900 AND 2099 THEN [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0]
-    ELSE [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0, 0.0 - conv_id * 1e3] END AS numbers FROM conversations WHERE turn < 10""")
+@register("answer_numbers", """WITH n AS (SELECT conv_id, turn, CASE WHEN conv_id BETWEEN 1900 AND 2099
+      THEN [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0]
+      ELSE [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0, 0.0 - conv_id * 1e3] END AS numbers
+    FROM conversations WHERE turn < 10)
+SELECT conv_id, turn, generate_subscripts(numbers, 1) - 1 AS pos, unnest(numbers) AS number FROM n""")
 def answer_numbers(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").filter("turn < 10")
     c, n = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     text = F.concat(F.lit("Sales came to $"), c, F.lit("."), n, F.lit(" million, up "), n, F.lit("%, against ("), c,
                     F.lit(") elsewhere. "), F.regexp_replace("text", "[0-9]", ""), F.lit("\nCitations: [chunk 12, 7]"))
-    return t.select("conv_id", "turn", N.extract_numbers(text, F.lit(1e3)).alias("numbers"))
+    return t.select("conv_id", "turn", F.posexplode(N.extract_numbers(text, F.lit(1e3))).alias("pos", "number"))
 
 
-@register("numeric_signal", """WITH v AS (SELECT doc_id, doc_id % 97 + 1.0 AS a, (doc_id * 7) % 89 + 1.0 AS b, 100.0 AS c,
-    100.0 + doc_id % 60 AS d FROM documents),
+@register("numeric_signal", """WITH v AS (SELECT doc_id, doc_id % 97 + 1e0 AS a, (doc_id * 7) % 89 + 1e0 AS b, 100e0 AS c,
+    100e0 + doc_id % 60 AS d FROM documents),
 m AS (SELECT *, abs(b - a) / a AS m1, abs(d - c) / c AS m2 FROM v)
 SELECT doc_id, CASE WHEN m1 >= m2 THEN a ELSE c END AS "old", CASE WHEN m1 >= m2 THEN b ELSE d END AS "new",
        round(greatest(m1, m2), 4) AS pct FROM m
@@ -286,7 +289,7 @@ def guarded_evidence(spark, sf_dir):
     return R.attach_guard(pool, diffs).select("ticker", "chapter", "label", "change_id", F.col("numeric_guard.pct").alias("guard_pct"))
 
 
-@register("cited_scale", """WITH h AS (SELECT conv_id, turn + 1 AS rank, CASE WHEN turn % 2 = 1 THEN conv_id % 4 * 1000.0 END AS table_scale FROM conversations)
+@register("cited_scale", """WITH h AS (SELECT conv_id, turn + 1 AS rank, CASE WHEN turn % 2 = 1 THEN conv_id % 4 * 1000e0 END AS table_scale FROM conversations)
 SELECT conv_id, min_by(table_scale, rank) FILTER (rank <= 3 AND table_scale <> 0) AS table_scale FROM h GROUP BY conv_id""")
 def cited_scale(spark, sf_dir):
     hits = table(spark, sf_dir, "conversations").select(

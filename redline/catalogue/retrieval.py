@@ -110,7 +110,7 @@ def _spanless(hits):
 @register("retrieval_metrics", f"""WITH {_TOPK_SQL}
 SELECT query_id, count(*) AS n_retrieved, count(*) FILTER (anchor = gold) AS n_anchor_hits, 0 AS n_span_hits,
        count(*) FILTER (anchor = gold) AS n_matched, count(*) FILTER (anchor = gold) / count(*) AS retrieval_precision,
-       CASE WHEN bool_or(anchor = gold) THEN 1.0 ELSE 0.0 END AS retrieval_recall, bool_or(anchor = gold) AS retrieval_hit
+       CASE WHEN bool_or(anchor = gold) THEN 1e0 ELSE 0e0 END AS retrieval_recall, bool_or(anchor = gold) AS retrieval_hit
 FROM hits WHERE rank <= 5 GROUP BY query_id""")
 def retrieval_metrics(spark, sf_dir):
     asks, _ = _split(spark, sf_dir)
@@ -228,7 +228,7 @@ verdict AS (SELECT *, CASE WHEN p = expected_route THEN 'correct' ELSE 'wrong('
 joint AS (SELECT *, CASE WHEN expected_route <> 'corpus' THEN route_result = 'correct'
     WHEN question_type = 'numerical' THEN coalesce(numeric_match, false) AND retrieval_hit ELSE retrieval_hit END AS joint_correct FROM verdict),
 results AS (SELECT config, question_id, question_type, expected_route, route_result, round(m / n, 3) AS retrieval_precision,
-    CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END AS retrieval_recall, retrieval_hit, numeric_match, joint_correct, provenance,
+    CASE WHEN m > 0 THEN 1e0 ELSE 0e0 END AS retrieval_recall, retrieval_hit, numeric_match, joint_correct, provenance,
     replace(substr(final_answer, 1, 200), chr(10), ' ') AS answer_preview,
     CASE WHEN joint_correct THEN '' WHEN expected_route = 'abstain' THEN 'false_positive'
       WHEN expected_route = 'web' THEN CASE WHEN route_result = 'correct' THEN 'web_search_miss' ELSE 'wrong_routing' END

@@ -24,7 +24,7 @@ def _labels(spark, sf_dir):
 
 
 def _scores_sql(grid):
-    values = ",".join(f"({i},{u},{m})" for i, (u, m) in enumerate(grid))
+    values = ",".join(f"({i},{u}e0,{m}e0)" for i, (u, m) in enumerate(grid))
     return f"""grid(grid_order, unchanged, minor) AS (VALUES {values}),
 said AS (SELECT g.*, label, CASE WHEN similarity >= unchanged THEN 'unchanged' WHEN similarity >= minor THEN 'modified_minor'
     WHEN similarity >= 0 THEN 'modified_major' ELSE 'modified_minor' END AS p FROM labelled CROSS JOIN grid g),
