@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
+from redline.llm.near_dup import OP5_SQL, op5_near_dup
 from redline.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op5_near_dup": op5_near_dup,
     "op6_line_dedup": op6_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op6_line_dedup": OP6_SQL}
+ORACLES = {"op5_near_dup": OP5_SQL, "op6_line_dedup": OP6_SQL}
