@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, toxicity
+from redline.llm import line_dedup, mixing, near_dup, pieces, toxicity
 from redline.llm.common import table
 from redline.session import checkpoint_dir
 
@@ -32,9 +32,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _with_length(line_dedup.dedup_lines(docs).select(*docs.columns))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by near-duplicate word shingles: the one of the smallest id."""
+    return near_dup.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; small sources again, at most twice, in permuted blocks."""
+    return mixing.mixed_rows(docs, mixing.Target(max_repeats=mixing.MAX_REPEATS))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every reading of every document."""
+    return pieces.token_digests(docs, pieces.read_model())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
+    ("near_dup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
 ]
 
 #: Toxicity rests on a trained model and tokens on a merge order, which SQL cannot express.

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
+from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
+from redline.llm.pieces import op7_sentencepiece
 from redline.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op5_near_dup": op5_near_dup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op5_near_dup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_near_dup": OP5_SQL, "op6_line_dedup": OP6_SQL}
