@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
+from redline.llm.line_frequency import OP1_SQL, op1_line_frequency
 from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
 from redline.llm.pieces import op7_sentencepiece
 from redline.llm.toxicity import op10_toxicity
+from redline.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op1_line_frequency": op1_line_frequency,
     "op3_mixing": op3_mixing,
     "op5_near_dup": op5_near_dup,
     "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op3_mixing": OP3_SQL, "op5_near_dup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {
+    "op1_line_frequency": OP1_SQL,
+    "op3_mixing": OP3_SQL,
+    "op5_near_dup": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
+}
