@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from redline.llm.language import op2_language
 from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
 from redline.llm.line_frequency import OP1_SQL, op1_line_frequency
 from redline.llm.mixing import OP3_SQL, op3_mixing
@@ -12,6 +13,7 @@ from redline.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op5_near_dup": op5_near_dup,
     "op6_line_dedup": op6_line_dedup,
