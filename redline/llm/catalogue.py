@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from redline.llm.hashed_search import op4_hashed_search
 from redline.llm.language import op2_language
 from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
 from redline.llm.line_frequency import OP1_SQL, op1_line_frequency
 from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
 from redline.llm.pieces import op7_sentencepiece
+from redline.llm.sentence_spans import op8_sentence_spans
 from redline.llm.toxicity import op10_toxicity
 from redline.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -15,9 +17,11 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op4_hashed_search": op4_hashed_search,
     "op5_near_dup": op5_near_dup,
     "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
