@@ -1,10 +1,11 @@
 """MinHash near-dedup: many universal hash minima, banding, signature check, exact check, connected components.
 
-1. One pass over whole texts turns each into a set of word shingles, a fingerprint of the set, ``BANDS * ROWS`` minima of
-   universal hash functions (a * x + b over 64 bits), one hash per band and the low byte of every minimum. Documents with
-   equal sets become one class, named by its smallest doc_id.
-2. In every band bucket, each class meets the bucket's smallest class. Pairs whose minima agree too seldom to reach the
-   threshold (five standard deviations) go; the others are compared on full sets.
+1. One pass over whole texts turns each into a set of word shingles, a fingerprint of the set and one hash for each of
+   ``BANDS`` bands of ``ROWS`` minima of universal hash functions (a * x + b over 64 bits). Documents with equal sets
+   become one class, named by its smallest doc_id. Classes that share a band bucket with another are read once more
+   for their sets and for signatures of ``WIDE`` minima (the low byte of each).
+2. In every band bucket, each class meets the bucket's smallest class. Pairs whose sizes or signatures show that they do
+   not reach the threshold (five standard deviations) go; the others are compared on full sets.
 3. Components of these links; then, in buckets that still hold several components, every class meets every class of
    another component. This runs block against block in numpy on the minima, so that only pairs that may reach the
    threshold leave a task; they are compared on full sets too. Pairs within one component need no comparison.
@@ -30,6 +31,8 @@ SHINGLE = 5
 THRESHOLD = 85
 BANDS = 32
 ROWS = 6
+WIDE = 1024
+SHORT = 192
 BLOCK = 256
 
 
@@ -55,8 +58,8 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
     """Upper 32 bits of every function's smallest value."""
     a, b = family
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[s:s + 512, None] * a + b).min(axis=0), out=least)
+    for s in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[s:s + 256, None] * a + b).min(axis=0), out=least)
     return least >> np.uint64(32)
 
 
@@ -78,18 +81,16 @@ def _features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     family = hash_family(bands * rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        words, size, mark, sig, keys = WordHashes(), [], [], [], []
+        words, size, mark, keys = WordHashes(), [], [], []
         for t in bytes_of(column(b, "_text")):
             s = shingle_set(t, words)
             size.append(len(s))
             mark.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            m = minima(s, family) if len(s) else None
-            sig.append(m.astype(np.uint8).tobytes() if len(s) else None)
-            keys.append(band_hashes(m, bands, rows).tobytes() if len(s) else None)
+            keys.append(band_hashes(minima(s, family), bands, rows).tobytes() if len(s) else None)
         return pa.RecordBatch.from_arrays(
-            [column(b, "_id"), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary()),
-             pa.array(keys, pa.binary())], ["_id", "_n", "_mark", "_sig", "_keys"])
-    return map_batches(docs, run, f"_id {kind}, _n long, _mark binary, _sig binary, _keys binary")
+            [column(b, "_id"), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(keys, pa.binary())],
+            ["_id", "_n", "_mark", "_keys"])
+    return map_batches(docs, run, f"_id {kind}, _n long, _mark binary, _keys binary")
 
 
 def _bucket_rows(classes: DataFrame) -> DataFrame:
@@ -105,26 +106,33 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("id", "keys"), run, f"key long, id {kind}")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets reach the threshold, as (u, v)."""
-    ids = (pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
+def _sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set, sig) of every class that shares a bucket: its full set and its signature."""
+    ids = members.select("id").distinct().join(classes.select("id", "mark"), "id")
     kind = dict(docs.dtypes)["_id"]
-    marks = classes.select(F.col("id").alias("_id"), "mark")
+    family = hash_family(WIDE, seed=11)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         words = WordHashes()
-        keep, sets = [], []
+        keep, sets, sigs = [], [], []
         for i, (t, m) in enumerate(zip(bytes_of(column(b, "_text")), column(b, "mark").to_pylist(), strict=True)):
             s = shingle_set(t, words)
             if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == m:  # the row that speaks for the document
                 keep.append(i)
                 sets.append(s.tobytes())
-        return pa.RecordBatch.from_arrays([column(b, "_id").take(pa.array(keep, pa.int64())),
-                                           pa.array(sets, pa.binary())], ["_id", "set"])
-    sets = cut_lineage(map_batches(docs.join(ids.join(marks, "_id"), "_id"), run, f"_id {kind}, set binary")
-                       .dropDuplicates(["_id"]))
-    both = (pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b"))
+                sigs.append(minima(s, family).astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [column(b, "id").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()),
+             pa.array(sigs, pa.binary())], ["id", "set", "sig"])
+    found = docs.join(ids, docs["_id"] == ids["id"]).select("id", "mark", "_text")
+    return map_batches(found, run, f"id {kind}, set binary, sig binary").dropDuplicates(["id"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets reach the threshold, as (u, v)."""
+    kind = dict(sets.dtypes)["id"]
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
 
     def compare(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -138,50 +146,60 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: i
     return map_batches(both, compare, f"u {kind}, v {kind}")
 
 
-def _star_pairs(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs of every class with the smallest class of its buckets, where the minima agree often enough."""
+def may_reach(x: np.ndarray, ys: np.ndarray, nx: int, ns: np.ndarray, threshold: int) -> np.ndarray:
+    """Places in ``ys`` (signatures, with set sizes ``ns``) that may reach the threshold with ``x``."""
+    at = np.flatnonzero(100 * np.minimum(nx, ns) >= threshold * np.maximum(nx, ns))
+    for width in (SHORT, WIDE):
+        at = at[(ys[at, :width] == x[:width]).sum(axis=1) >= least_agreement(threshold, width)]
+    return at
+
+
+def _star_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of every class with the smallest class of its buckets that may reach the threshold."""
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    both = (pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b"))
+    size = F.length("set")
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("sa"), size.alias("na")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("sig").alias("sb"), size.alias("nb")), "b"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = bytes_of(column(b, "sa")), bytes_of(column(b, "sb"))
-        x = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
-        y = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        at = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+        na, nb = column(b, "na").to_pylist(), column(b, "nb").to_numpy()
+        keep = [i for i, (x, y) in enumerate(zip(bytes_of(column(b, "sa")), bytes_of(column(b, "sb")), strict=True))
+                if len(may_reach(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)[None], na[i], nb[i:i + 1],
+                                 threshold))]
+        at = pa.array(keep, pa.int64())
         return pa.RecordBatch.from_arrays([column(b, "a").take(at), column(b, "b").take(at)], ["a", "b"])
-    kind = dict(classes.dtypes)["id"]
-    return map_batches(both, lambda b: run(b) if b.num_rows else b.select(["a", "b"]), f"a {kind}, b {kind}")
+    kind = dict(sets.dtypes)["id"]
+    return map_batches(both, run, f"a {kind}, b {kind}")
 
 
-def _residual_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame, least: int) -> DataFrame:
-    """Pairs of classes of one bucket but different components, where the minima agree often enough.
+def _residual_pairs(members: DataFrame, sets: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of classes of one bucket but different components that may reach the threshold.
 
     A bucket of n classes is dealt into ceil(n / BLOCK) blocks by hash, and every pair of blocks is one small task
-    group; no pair is emitted before its minima were compared.
+    group; no pair is emitted before its signatures were compared.
     """
-    kind = dict(classes.dtypes)["id"]
+    kind = dict(sets.dtypes)["id"]
     tagged = cut_lineage(members.join(parts, members["id"] == parts["node"], "left")
                          .select("key", "id", "n", F.coalesce("component", "id").alias("part")))
     mixed = cut_lineage(tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
                         .filter("lo < hi").select("key"))
-    rows = (tagged.join(mixed, "key").join(classes.select("id", "sig"), "id")
+    rows = (tagged.join(mixed, "key").join(sets.select("id", "sig", F.length("set").alias("size")), "id")
             .withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id",
-                    "part", "sig"))
+                    "part", "sig", "size"))
 
     def meet(group: pa.Table) -> pa.Table:
         own = group["own"].to_numpy()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        ids, part = group["id"].to_numpy(), group["part"].to_numpy()
+        ids, part, size = group["id"].to_numpy(), group["part"].to_numpy(), group["size"].to_numpy()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in left:
             y = right[(part[right] != part[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+            y = y[may_reach(sig[x], sig[y], size[x], size[y], threshold)]
             a.extend([ids[x]] * len(y))
             b.extend(ids[y])
         a, b = np.array(a, ids.dtype), np.array(b, ids.dtype)
@@ -205,19 +223,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
     own = cut_lineage(own.select("_id", F.col("s._n").alias("n"), F.nullif("s._mark", F.lit(b"")).alias("mark")))
     heads = cut_lineage(own.filter("mark is not null").groupBy("mark").agg(F.min("_id").alias("id")))
     classes = cut_lineage(heads.join(named, (heads["mark"] == named["_mark"]) & (heads["id"] == named["_id"]))
-                          .select("id", "mark", F.col("_sig").alias("sig"), F.col("_keys").alias("keys"))
+                          .select("id", "mark", F.col("_keys").alias("keys"))
                           .dropDuplicates(["id"]))
     flat = _bucket_rows(classes)
     shared = cut_lineage(flat.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"))
     members = cut_lineage(flat.join(shared, "key"))
-    least = least_agreement(threshold, bands * rows)
-    text = source.filter("_id is not null")
-    star = cut_lineage(_star_pairs(members, classes, least))
-    links = cut_lineage(_confirm(star, classes, text, threshold))
+    sets = cut_lineage(_sets(members, classes, source.filter("_id is not null")))
+    star = cut_lineage(_star_pairs(members, sets, threshold))
+    links = cut_lineage(_confirm(star, sets, threshold))
     parts = cut_lineage(components(links))
-    rest = cut_lineage(_residual_pairs(members, classes, parts, least))
+    rest = cut_lineage(_residual_pairs(members, sets, parts, threshold))
     if not rest.isEmpty():
-        more = _confirm(rest.join(star, ["a", "b"], "left_anti"), classes, text, threshold)
+        more = _confirm(rest.join(star, ["a", "b"], "left_anti"), sets, threshold)
         parts = components(links.unionByName(more))
     labels = cut_lineage(heads.join(parts, heads["id"] == parts["node"], "left")
                          .select("mark", F.coalesce("component", "id").alias("component_id")))
