@@ -37,9 +37,27 @@ class Vocabulary:
     pieces: dict[str, int]
 
     def __post_init__(self):
-        self.starts = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.size = len(self.pieces) + 256
+        chars = sorted({c for p in self.pieces for c in p})
+        self.char = np.full(0x110000, -1, np.int64)
+        self.char[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.chars = max(len(chars), 1)
+        nodes = {"": 0}  # a trie: one node per prefix, one sorted key per step
+        for p in self.pieces:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        self.piece = np.full(len(nodes), -1, np.int64)
+        self.piece[[nodes[p] for p in self.pieces]] = list(self.pieces.values())
+        step = {nodes[p[:-1]] * self.chars + int(self.char[ord(p[-1])]): n for p, n in nodes.items() if p}
+        self.keys = np.array(sorted(step), np.int64)
+        self.next = np.array([step[k] for k in self.keys.tolist()], np.int64)
+
+    def walk(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Next nodes, -1 where there is none."""
+        key = node * self.chars + char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((char >= 0) & (self.keys[at] == key), self.next[at], -1)
 
     @classmethod
     def of_model(cls, blob: bytes) -> Vocabulary:
@@ -62,31 +80,29 @@ def letters_words(text: str | None) -> list[str]:
 def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     """Every piece occurrence in every word: (word, begin, end, number of steps, first of ``steps``) and the piece of
     each step. A character outside the vocabulary is one edge over its bytes."""
-    own, begin, end, count, steps = [], [], [], [], []
-    for w, word in enumerate(words):
-        chars = SPACE + word
-        for i in range(len(chars)):
-            single = False
-            for j in range(i + 1, min(len(chars), i + vocab.longest) + 1):
-                part = chars[i:j]
-                if part not in vocab.starts:
-                    break
-                piece = vocab.pieces.get(part)
-                if piece is not None:
-                    single |= j == i + 1
-                    own.append(w)
-                    begin.append(i)
-                    end.append(j)
-                    count.append(1)
-                    steps.append(piece)
-            if not single:
-                raw = chars[i].encode("utf-8", "replace")
-                own.append(w)
-                begin.append(i)
-                end.append(i + 1)
-                count.append(len(raw))
-                steps.extend(len(vocab.pieces) + b for b in raw)
-    return tuple(np.array(x, np.int64) for x in (own, begin, end, count, steps))
+    size = np.array([len(w) + 1 for w in words])
+    text = "".join(SPACE + w for w in words)
+    char = vocab.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    at, node = np.arange(len(text)), np.zeros(len(text), np.int64)
+    single = np.zeros(len(text), bool)
+    parts: list[tuple[np.ndarray, ...]] = []
+    for n in range(1, vocab.longest + 1):
+        node = vocab.walk(node, char[at + n - 1])
+        at, node = at[node >= 0], node[node >= 0]
+        hit = vocab.piece[node] >= 0
+        if n == 1:
+            single[at[hit]] = True
+        parts.append((word[at[hit]], place[at[hit]], place[at[hit]] + n, np.ones(int(hit.sum()), np.int64),
+                      vocab.piece[node[hit]]))
+        more = place[at] + n < size[word[at]]
+        at, node = at[more], node[more]
+    bare = np.flatnonzero(~single)
+    raw = [text[i].encode("utf-8", "replace") for i in bare]
+    parts.append((word[bare], place[bare], place[bare] + 1, np.array([len(r) for r in raw], np.int64),
+                  np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + len(vocab.pieces)))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
 
 
 def _weights(e: tuple[np.ndarray, ...], chance: np.ndarray, scale: float) -> np.ndarray:
