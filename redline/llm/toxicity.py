@@ -12,6 +12,7 @@ Fitting uses at most ``toxic_rows`` and ``clean_rows`` labelled rows (chosen by
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,24 +100,40 @@ def score_texts(texts: list[str], model: ToxicityModel, window: int = WINDOW) ->
     return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 60, warm: int = 12,
-              rate: float = 0.1, decay: float = 1e-4, min_texts: int = 5, window: int = WINDOW, seed: int = 1) -> ToxicityModel:
+def _word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all words, one word behind the other, and how many each word has."""
+    flat, sizes = [], []
+    for s in range(0, len(words), 20_000):
+        data, starts, _ = byte_words(words[s:s + 20_000])
+        pairs = gram_buckets(data)
+        owner = np.concatenate([np.searchsorted(starts, at, "right") - 1 for at, _ in pairs])
+        flat.append(np.concatenate([b for _, b in pairs])[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(starts)))
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def fit_texts(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 90, warm: int = 15, rate: float = 0.1,
+              decay: float = 1e-4, min_texts: int = 5, window: int = WINDOW, seed: int = 1) -> ToxicityModel:
     """Train embeddings and softmax together by full-batch Adam.
 
     In the first ``warm`` rounds every window carries its text's label; after that a toxic text teaches through its
     highest window only, a clean one through all its windows and once more, three times as strongly, through its
-    highest. N-grams of fewer than ``min_texts`` texts share one vector, which unseen ones get too. Without both classes the model is neutral at a low score.
+    highest. N-grams of fewer than ``min_texts`` texts share one vector, which unseen ones get too. Without both classes
+    the model is neutral at a low score.
     """
     toxic = np.asarray(toxic, bool)
-    neutral = ToxicityModel(np.zeros(BUCKETS), -4.0)
-    data, starts, docs = byte_words(texts)
-    if not len(starts) or not toxic.any() or toxic.all():
-        return neutral
     index: dict[bytes, int] = {}
-    raw = data.tobytes().split()
-    words = np.fromiter((index.setdefault(w, len(index)) for w in raw), np.int64, len(raw))
-    keep = np.concatenate([[True], (words[1:] != words[:-1]) | (docs[1:] != docs[:-1])])
-    words, docs = words[keep], docs[keep]
+    words, docs = array("i"), array("i")
+    for d, t in enumerate(texts):
+        last = None
+        for w in t.lower().encode("utf-8", "replace").translate(_ENDS).split():
+            if w != last:  # a word that repeats the one before it is read once
+                words.append(index.setdefault(w, len(index)))
+                docs.append(d)
+            last = w
+    if not words or not toxic.any() or toxic.all():
+        return ToxicityModel(np.zeros(BUCKETS), -4.0)
+    words, docs = np.frombuffer(words, np.int32), np.frombuffer(docs, np.int32)
     head = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     places = np.arange(len(docs)) - np.repeat(head, np.diff(np.append(head, len(docs))))
     first = places % window == 0
@@ -126,26 +143,30 @@ def fit_texts(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 6
     doc_of = docs[first]
     label = toxic[doc_of].astype(np.float64)
     start = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
-    known, known_at, _ = byte_words([w.decode("utf-8", "replace") for w in index])
-    pairs = gram_buckets(known)
-    owner = np.concatenate([np.searchsorted(known_at, at, "right") - 1 for at, _ in pairs])
-    flat = np.concatenate([b for _, b in pairs])
-    order = np.argsort(owner, kind="stable")
-    owner = owner[order]
-    in_texts = np.bincount(np.unique(words * len(texts) + docs) // len(texts), minlength=len(index))
-    seen, flat = np.unique(flat[order], return_inverse=True)
-    common = np.bincount(flat, weights=in_texts[owner]) >= min_texts
-    used = seen[common]
-    flat = np.where(common, np.cumsum(common), 0)[flat]  # row 0 stands for every rare or unseen n-gram
-    per_word = np.bincount(owner, minlength=len(index)).astype(np.float32)
-    offsets = np.concatenate([[0], np.cumsum(per_word[:-1], dtype=np.int64)])
+    flat, per_word = _word_grams([w.decode("utf-8", "replace") for w in index])
+    in_texts = np.bincount(np.unique(words.astype(np.int64) * len(texts) + docs) // len(texts), minlength=len(index))
+    offsets = np.concatenate([[0], np.cumsum(per_word)])
+    cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], 1 << 20)), len(index)))
+    chunks = [(slice(x, y), slice(offsets[x], offsets[y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def onto_grams(by_word: np.ndarray, rows: int) -> np.ndarray:
+        """What the words pass to the rows of their n-grams."""
+        out = np.zeros(rows)
+        for w, g in chunks:
+            out += np.bincount(flat[g], weights=np.repeat(by_word[w], per_word[w]), minlength=rows)
+        return out
+    used = np.flatnonzero(onto_grams(in_texts, BUCKETS) >= min_texts)
+    row = np.zeros(BUCKETS, np.int32)  # row 0 stands for every rare or unseen n-gram
+    row[used] = np.arange(1, len(used) + 1)
+    flat = row[flat]
     rng = np.random.default_rng(seed)
-    emb, out, bias = rng.normal(0, 0.1, (len(used) + 1, dim)).astype(np.float32), rng.normal(0, 0.1, dim), 0.0
+    emb, out, bias = rng.normal(0, 0.1, (len(used) + 1, dim)), rng.normal(0, 0.1, dim), 0.0
     state = [[np.zeros_like(emb), np.zeros_like(emb)], [np.zeros(dim), np.zeros(dim)], [np.zeros(1), np.zeros(1)]]
     clean = label == 0
     for step in range(1, rounds + 1):
-        vec = np.add.reduceat(emb[flat], offsets, axis=0) / per_word[:, None]
-        z = np.bincount(win, weights=(vec @ out)[words], minlength=n_win) / size + bias
+        share = emb @ out  # a word's part is the mean over its n-grams, a window's the mean over its words
+        by_word = np.concatenate([np.add.reduceat(share[flat[g]], offsets[w] - offsets[w.start]) for w, g in chunks])
+        z = np.bincount(win, weights=(by_word / per_word)[words], minlength=n_win) / size + bias
         weight = clean / clean.sum()
         if step <= warm:
             weight = weight + label / label.sum()
@@ -154,16 +175,15 @@ def fit_texts(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 6
             for side, strength in ((~clean, 1.0), (clean, 3.0)):
                 weight = weight + strength * (highest & side) / (highest & side).sum()
         err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) * weight
-        by_word = np.bincount(words, weights=(err / size)[win], minlength=len(index))
-        base = np.bincount(flat, weights=(by_word / per_word)[owner], minlength=len(used) + 1).astype(np.float32)
-        grads = [base[:, None] * out.astype(np.float32) + np.float32(decay / len(emb)) * emb,
-                 vec.T @ by_word + decay * out, np.array([err.sum()])]
+        by_word = np.bincount(words, weights=(err / size)[win], minlength=len(index)) / per_word
+        base = onto_grams(by_word, len(emb))
+        grads = [base[:, None] * out + decay / len(emb) * emb, emb.T @ base + decay * out, np.array([err.sum()])]
         moves = []
         for (m, v), g in zip(state, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             moves.append(rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10))
-        emb, out, bias = emb - moves[0].astype(np.float32), out - moves[1], bias - float(moves[2][0])
+        emb, out, bias = emb - moves[0], out - moves[1], bias - float(moves[2][0])
     shares = emb @ out
     logit = np.full(BUCKETS, shares[0])
     logit[used] = shares[1:]
