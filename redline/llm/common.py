@@ -44,6 +44,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def map_tasks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """Like ``map_batches`` with a function that each task makes for itself, and drops with all it holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            yield fn(b)
+    return df.mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen by this task; emptied when it grows past ``limit`` entries."""
 

@@ -17,12 +17,13 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm.common import bytes_of, column, map_batches, table
+from redline.llm.common import bytes_of, column, map_tasks, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -87,7 +88,7 @@ class CharacterMap:
 class PieceModel:
     """Vocabulary, merge ranks and normaliser of one model; caches the pieces of distinct parts of text."""
 
-    def __init__(self, blob: bytes, cache: int = 600_000):
+    def __init__(self, blob: bytes, cache: int = 250_000):
         self.limit = cache
         trainer, normalizer, entries = {}, {}, []
         for number, value in _fields(blob):
@@ -286,29 +287,6 @@ class PieceModel:
         return ids, np.append(align[:1], stops[:-1]), stops, parts
 
 
-_loaded: dict[int, PieceModel] = {}
-
-
-def _model(shared) -> PieceModel:
-    """One model per worker and broadcast."""
-    if shared.id not in _loaded:
-        _loaded.clear()
-        _loaded[shared.id] = PieceModel(shared.value)
-    return _loaded[shared.id]
-
-
-class SharedModel:
-    """A broadcast model file (half a megabyte) and the key under which workers keep it."""
-
-    def __init__(self, spark: SparkSession, blob: bytes):
-        self.broadcast = spark.sparkContext.broadcast(blob)
-        self.id = hash(blob)
-
-    @property
-    def value(self) -> bytes:
-        return self.broadcast.value
-
-
 def read_model(path: str | None = None) -> bytes:
     """The model file's bytes; the installed public tokenizer by default."""
     if path is None:
@@ -323,33 +301,32 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> D
 
     Null encodes as the empty text: the end id alone, at byte 0. Columns of these names are replaced.
     """
-    shared = SharedModel(docs.sparkSession, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte
     new = ["piece_ids", "piece_begins", "piece_ends"]
     held = docs.drop(*new)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m, out = _model(shared), ([], [], [])
+    def run(m: PieceModel, b: pa.RecordBatch) -> pa.RecordBatch:
+        out = ([], [], [])
         for t in bytes_of(column(b, text_col)):
             for to, values in zip(out, m.encode(t or b"")[:3], strict=True):
                 to.append(values)
         cols = [pa.array(out[0], pa.list_(pa.int32())), *[pa.array(x, pa.list_(pa.int64())) for x in out[1:]]]
         return pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in held.schema.fields)
-    return map_batches(held, run,
-                       f"{fields}piece_ids array<int>, piece_begins array<bigint>, piece_ends array<bigint>")
+    return map_tasks(held, lambda: partial(run, PieceModel(shared.value)),
+                     f"{fields}piece_ids array<int>, piece_begins array<bigint>, piece_ends array<bigint>")
 
 
 def decode_pieces(df: DataFrame, model: bytes, ids_col: str = "piece_ids", name: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the text of its ids; null ids give null."""
-    shared = SharedModel(df.sparkSession, model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     held = df.drop(name)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = _model(shared)
+    def run(m: PieceModel, b: pa.RecordBatch) -> pa.RecordBatch:
         out = [None if x is None else m.decode(x) for x in column(b, ids_col).to_pylist()]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, name])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in held.schema.fields)
-    return map_batches(held, run, f"{fields}`{name}` string")
+    return map_tasks(held, lambda: partial(run, PieceModel(shared.value)), f"{fields}`{name}` string")
 
 
 def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,11 +334,10 @@ def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
     n_covered counts the original bytes inside the spans of the pieces.
     """
-    shared = SharedModel(docs.sparkSession, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte
     slim = docs.select(id_col, text_col)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = _model(shared)
+    def run(m: PieceModel, b: pa.RecordBatch) -> pa.RecordBatch:
         count, ids_hash, text_hash, covered = [], [], [], []
         for t in bytes_of(column(b, text_col)):
             ids, begins, ends, parts = m.encode(t or b"")
@@ -376,8 +352,8 @@ def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
              pa.array(text_hash, pa.string()), pa.array(covered, pa.int64())],
             [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_covered"])
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(slim, run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, "
-                                  "n_covered long")
+    return map_tasks(slim, lambda: partial(run, PieceModel(shared.value)),
+                     f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
