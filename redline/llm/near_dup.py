@@ -107,8 +107,8 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
 
 
 def _sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, set, sig) of every class that shares a bucket: its full set and its signature."""
-    ids = members.select("id").distinct().join(classes.select("id", "mark"), "id")
+    """(id, keys, set, sig) of every class that shares a bucket: its band hashes, full set and signature."""
+    ids = members.select("id").distinct().join(classes.select("id", "mark", "keys"), "id")
     kind = dict(docs.dtypes)["_id"]
     family = hash_family(WIDE, seed=11)
 
@@ -122,10 +122,10 @@ def _sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 sets.append(s.tobytes())
                 sigs.append(minima(s, family).astype(np.uint8).tobytes())
         return pa.RecordBatch.from_arrays(
-            [column(b, "id").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()),
-             pa.array(sigs, pa.binary())], ["id", "set", "sig"])
-    found = docs.join(ids, docs["_id"] == ids["id"]).select("id", "mark", "_text")
-    return map_batches(found, run, f"id {kind}, set binary, sig binary").dropDuplicates(["id"])
+            [column(b, "id").take(at := pa.array(keep, pa.int64())), column(b, "keys").take(at),
+             pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["id", "keys", "set", "sig"])
+    found = docs.join(ids, docs["_id"] == ids["id"]).select("id", "mark", "keys", "_text")
+    return map_batches(found, run, f"id {kind}, keys binary, set binary, sig binary").dropDuplicates(["id"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -176,30 +176,33 @@ def _residual_pairs(members: DataFrame, sets: DataFrame, parts: DataFrame, thres
     """Pairs of classes of one bucket but different components that may reach the threshold.
 
     A bucket of n classes is dealt into ceil(n / BLOCK) blocks by hash, and every pair of blocks is one small task
-    group; no pair is emitted before its signatures were compared.
+    group; no pair is emitted before its signatures were compared, and each only in the first bucket that both share.
     """
     kind = dict(sets.dtypes)["id"]
     tagged = cut_lineage(members.join(parts, members["id"] == parts["node"], "left")
                          .select("key", "id", "n", F.coalesce("component", "id").alias("part")))
     mixed = cut_lineage(tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
                         .filter("lo < hi").select("key"))
-    rows = (tagged.join(mixed, "key").join(sets.select("id", "sig", F.length("set").alias("size")), "id")
+    rows = (tagged.join(mixed, "key").join(sets.select("id", "keys", "sig", F.length("set").alias("size")), "id")
             .withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id",
-                    "part", "sig", "size"))
+                    "part", "keys", "sig", "size"))
 
     def meet(group: pa.Table) -> pa.Table:
         own = group["own"].to_numpy()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         ids, part, size = group["id"].to_numpy(), group["part"].to_numpy(), group["size"].to_numpy()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.int64).reshape(len(ids), -1)
+        band = int(np.flatnonzero(keys[0] == group["key"][0].as_py())[0])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in left:
             y = right[(part[right] != part[x]) & ((ids[right] > ids[x]) if i == j else True)]
             y = y[may_reach(sig[x], sig[y], size[x], size[y], threshold)]
+            y = y[(keys[y] == keys[x]).argmax(axis=1) == band]
             a.extend([ids[x]] * len(y))
             b.extend(ids[y])
         a, b = np.array(a, ids.dtype), np.array(b, ids.dtype)
