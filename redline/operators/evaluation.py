@@ -32,14 +32,16 @@ def retrieval_score(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFram
                      lambda s: s.isNotNull() & (F.size(s) == 2))
     g = gold.select(*by, anchors.alias("_anchors"), spans.alias("_spans"))
     rows = g.join(hits.select(*by, "anchor", "span_start", "span_end", F.lit(True).alias("_hit")), by, "left")
-    overlapping = F.filter("_spans", lambda s: (F.col("span_start") < s[1]) & (s[0] < F.col("span_end")))
+    # positions in the list of gold spans, so that a span listed twice counts twice
+    overlapping = F.filter(F.transform("_spans", lambda s, i: F.when(
+        (F.col("span_start") < s[1]) & (s[0] < F.col("span_end")), i)), lambda i: i.isNotNull())
     rows = (rows.withColumn("_anchor_hit", F.coalesce(F.array_contains("_anchors", F.col("anchor")), F.lit(False)))
             .withColumn("_covered", F.when(F.col("span_start").isNotNull() & F.col("span_end").isNotNull(), overlapping))
             .withColumn("_span_hit", ~F.col("_anchor_hit") & (F.coalesce(F.size("_covered"), F.lit(0)) > 0)))
     agg = rows.groupBy(*by).agg(
         F.count_if("_hit").alias("n_retrieved"), F.count_if("_anchor_hit").alias("n_anchor_hits"),
         F.count_if("_span_hit").alias("n_span_hits"), F.first("_anchors").alias("_anchors"),
-        F.first("_spans").alias("_spans"), F.collect_set("anchor").alias("_seen"),
+        F.first("_spans").alias("_spans"), F.collect_set(F.when(~F.col("anchor").isin("none", "unknown"), F.col("anchor"))).alias("_seen"),
         F.array_distinct(F.flatten(F.collect_list("_covered"))).alias("_covered"))
     matched = F.col("n_anchor_hits") + F.col("n_span_hits")
     recall = (F.when(F.size("_anchors") > 0, F.size(F.array_intersect("_seen", "_anchors")) / F.size("_anchors"))

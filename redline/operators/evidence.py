@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from redline import dims
 from redline.functions.text import display_name
@@ -48,7 +49,8 @@ def resolve_citations(texts: DataFrame, pool: DataFrame, keys: list[str]) -> Dat
     cited = texts.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(r"\[E(\d+)\]"), F.lit(1))).alias("pos", "no"))
     first = cited.groupBy(*keys, F.concat(F.lit("E"), F.col("no")).alias("label")).agg(F.min("pos").alias("pos"))
     known = first.join(pool.select(*keys, "label", "change_id"), [*keys, "label"])
-    return top_per_key(known, keys, [F.col("pos")], 1 << 20, "n").select(*keys, "n", "label", "change_id")
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))  # at most the labels of one pool
+    return known.withColumn("n", turn).select(*keys, "n", "label", "change_id")
 
 
 def renumber_citations(texts: DataFrame, footnotes: DataFrame, keys: list[str]) -> DataFrame:

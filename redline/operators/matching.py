@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from redline import dims
 from redline.operators.pairing import PAIR
 from redline.operators.ranking import BLOCK, rank_within, top_per_key
-from redline.operators.vectors import DIGITS, as_matrix, embed, embedder_factory
+from redline.operators.vectors import DIGITS, as_matrix, embed, embedder_factory, unit_rows
 from redline.session import cut_lineage
 
 MAX_CELLS = 4_000_000   # old x new similarities of one section in one task (32 MB)
@@ -78,6 +78,7 @@ def align_bounded(sides: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys:
     schema = _alignment_schema(keys, sides, with_texts)
     names = [f.name for f in schema.fields]
     factory = embedder_factory(model_key) if model_key else None
+    prefix = "passage: " if model_key and model_key.startswith("e5") else ""
     cache: dict = {}
 
     def vectors(pdf: pd.DataFrame) -> np.ndarray:
@@ -87,7 +88,8 @@ def align_bounded(sides: DataFrame, floor: float = dims.SIMILARITY_FLOOR, keys:
             return np.stack(pdf["vector"].to_numpy()).astype("float64")
         if "model" not in cache:
             cache["model"] = factory()
-        return cache["model"](pdf["text"].tolist())
+        texts = [prefix + t for t in pdf["text"].fillna("")]
+        return unit_rows(np.asarray(cache["model"](texts), dtype="float64"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
@@ -178,8 +180,8 @@ def align(old: DataFrame, new: DataFrame, floor: float = dims.SIMILARITY_FLOOR,
 # ---- sections too large for one task ------------------------------------------------------------------
 
 def _copies(side: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gid, idx, copy, vector): identical vectors share gid and are numbered in section order."""
-    gid = F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","))
+    """(keys, gid, idx, copy, vector): vectors equal to DIGITS digits share gid and are numbered in section order."""
+    gid = F.md5(F.array_join(F.transform("vector", lambda x: (F.round(x.cast("double"), DIGITS) + 0.0).cast("string")), ","))
     return rank_within(side.select(*keys, "idx", "vector", gid.alias("gid")), [*keys, "gid"], [F.col("idx")], "copy",
                        levels=[F.floor(F.col("idx") / BLOCK)])
 

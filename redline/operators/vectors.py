@@ -23,11 +23,12 @@ _SLOTS: dict[int, dict[str, int]] = {}  # token slots a worker process has alrea
 
 
 def hashed_embedder(dim: int = 128) -> Embedder:
-    """Deterministic bag of blank-separated tokens, each hashed to one of ``dim`` <= 256 slots, unit length.
+    """Deterministic bag of blank-separated tokens, each hashed to one of ``dim`` slots, unit length.
 
     Splitting and counting are vectorised; only distinct tokens are hashed one by one.
     """
     known = _SLOTS.setdefault(dim, {"": -1})
+    width = 1 if dim <= 256 else 8
 
     def slot(token: str) -> int:
         got = known.get(token)
@@ -35,7 +36,7 @@ def hashed_embedder(dim: int = 128) -> Embedder:
             if len(known) > 1_000_000:
                 known.clear()
                 known[""] = -1
-            got = known[token] = hashlib.md5(token.encode()).digest()[0] % dim
+            got = known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:width], "big") % dim
         return got
 
     def embed_texts(texts: list[str]) -> np.ndarray:

@@ -77,3 +77,34 @@ def test_zero_floor_keeps_orthogonal_pairs(spark):
     assert kinds == ["matched"]
     kinds = sorted(r.kind for r in M.align(side(spark, o), side(spark, n), 0.9, KEYS).collect())
     assert kinds == ["added", "removed"]
+
+
+def _text_matches(spark, key, old, new, **limits):
+    from redline.operators.matching import align
+    from redline.operators.pairing import PAIR
+    head = {k: "x" for k in PAIR}
+
+    def frame(texts):
+        rows = [{**head, "idx": i, "text": t} for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, ", ".join(f"{k} string" for k in PAIR) + ", idx long, text string")
+    out = align(frame(old), frame(new), 0.5, model_key=key, **limits).filter("kind = 'matched'").collect()
+    return sorted((r.old_idx, r.new_idx, round(r.similarity, 6)) for r in out)
+
+
+def test_parallel_vectors_match_alike_on_both_paths(spark):
+    text = "alpha beta gamma"
+    old, new = [text], [" ".join([text] * 3), "gamma beta alpha alpha beta gamma", text]
+    want = _text_matches(spark, "hashed", old, new)
+    assert want == _text_matches(spark, "hashed", old, new, max_cells=0) == [(0, 0, 1.0)]
+
+
+def test_registered_model_is_prefixed_and_normalised_on_both_paths(spark):
+    import numpy as np
+    from redline.operators.vectors import register_embedder
+
+    def make():
+        return lambda texts: np.array([[float(t.startswith("passage: ")) * 4 + len(t), float(t.count("a")), 1.0]
+                                       for t in texts])
+    register_embedder("e5-test", make)
+    old, new = ["aab", "b c d"], ["aab c", "d d d d d"]
+    assert _text_matches(spark, "e5-test", old, new) == _text_matches(spark, "e5-test", old, new, max_cells=0)
