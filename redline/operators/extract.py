@@ -1,12 +1,11 @@
 """Pages to text and to ordered prose / table segments.
 
-Only the tag walk runs in Python, Arrow batch by Arrow batch; cleaning, headings and sections are
+Only the tag reader runs in Python, Arrow batch by Arrow batch; cleaning, headings and sections are
 expressions and windows over the extracted lines. Nothing is gathered beyond one document.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,24 +18,19 @@ from redline import dims
 from redline.functions.headings import detect_heading, scale_factor, section_anchor, table_anchor
 from redline.functions.text import collapse_spaces, squeeze_blank_lines, strip, strip_noise_lines
 from redline.operators.once import compute_once
-from redline.sources import html as H
+from redline.sources.html import read_page
 
 CONTEXT_CHARS = 3000
 
 
-def _deep():
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # pages nest tags thousands deep
-
-
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Replace the page column by its text, without dropped elements, blank-line runs and metadata lines."""
     keep = [c for c in df.columns if c != html]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _deep()
         for pdf in batches:
-            pdf[out] = [H.page_text(H.parse(page, dims.DROPPED_ELEMENTS)) for page in pdf[html]]
+            pdf[out] = ["\n".join(read_page(page, dims.DROPPED_ELEMENTS).strings) for page in pdf[html]]
             yield pdf[[*keep, out]]
 
     return df.mapInPandas(run, schema).withColumn(out, strip_noise_lines(squeeze_blank_lines(F.col(out))))
@@ -49,10 +43,9 @@ def extract_segments(df: DataFrame, keys: list[str], html: str = "html") -> Data
         T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _deep()
         for pdf in batches:
             rows = [(*key, no, kind, text) for *key, page in pdf[[*keys, html]].itertuples(index=False, name=None)
-                    for no, (kind, text) in enumerate(H.page_segments(H.parse(page, dims.DROPPED_ELEMENTS)))]
+                    for no, (kind, text) in enumerate(read_page(page, dims.DROPPED_ELEMENTS).segments)]
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return df.select(*keys, html).mapInPandas(run, schema)

@@ -1,144 +1,188 @@
-"""A minimal HTML tree for one page; used inside tasks only."""
+"""Pages read in one pass over the parser's events: no tree, no recursion; used inside tasks only.
+
+Every open element is a small frame. It knows the first characters of its own text and what its last few
+children said, which is all that captions need, so memory follows nesting depth and output, not markup.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # An opening tag of the left kind ends open elements of the right kinds, up to the nearest table.
 CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+# End tags that have no effect on elements outside the table they stand in.
+HELD_BY_TABLE = frozenset("td th tr p div span".split())
+
+CAPTION_CHARS = 300
+CAPTION_SIBLINGS = 4
+BARE_ID = re.compile(r"[a-z0-9\-]{1,39}")
 
 
-class Node:
-    __slots__ = ("name", "children")
+class _Frame:
+    """An open element: its name, its text as far as a caption could hold it, and its latest children's."""
+
+    __slots__ = ("name", "said", "recent")
 
     def __init__(self, name: str):
-        self.name, self.children = name, []
+        self.name, self.said, self.recent = name, "", deque(maxlen=CAPTION_SIBLINGS)
 
-    def strings(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            else:
-                yield from child.strings()
+    def say(self, text: str) -> None:
+        if len(self.said) <= CAPTION_CHARS:
+            self.said += text[:CAPTION_CHARS + 1]
 
-    def find_all(self, *names):
-        for child in self.children:
-            if isinstance(child, Node):
-                if child.name in names:
-                    yield child
-                yield from child.find_all(*names)
+    def captions(self) -> list[str]:
+        return [s for s in self.recent if s and len(s) <= CAPTION_CHARS and not BARE_ID.fullmatch(s)]
 
 
-class _Builder(HTMLParser):
-    def __init__(self, dropped):
+class PageReader(HTMLParser):
+    """Collects ``strings`` (all text nodes) and ``segments``: (kind, text) in document order.
+
+    Prose is one whitespace-collapsed line per text node. An outermost table is one segment: captions in front,
+    then ``a | b`` per row that has any text; a cell belongs to every row open around it. ``head`` gives no segments.
+    """
+
+    def __init__(self, dropped=()):
         super().__init__(convert_charrefs=True)
-        self.root = Node("")
-        self.open = [self.root]
-        self.dropped = dropped
-        self.muted = []  # open elements whose content is dropped
+        self.dropped = frozenset(dropped)
+        self.strings: list[str] = []
+        self.segments: list[tuple[str, str]] = []
+        self._frames = [_Frame("")]
+        self._scopes = [Counter()]  # open names since the page or each open table began
+        self._open = Counter()
+        self._muted: tuple[str, int] | None = None  # dropped element and how often it is open
+        self._pending: list[str] = []  # parts of one text node
+        self._prose: list[str] = []
+        self._captions: list[str] = []
+        self._rows: list[list[list[str]]] = []  # of the outermost table
+        self._open_rows: list[list[list[str]]] = []
+        self._open_cells: list[list[str]] = []
+
+    # ---- parser events
+
+    def handle_data(self, data):
+        if self._muted is None:
+            self._pending.append(data)
 
     def handle_starttag(self, tag, attrs):
-        if self.muted:
-            if tag not in VOID:
-                self.muted.append(tag)
-            return
-        if tag in self.dropped:
-            self.muted.append(tag)
-            return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name == "table" or tag not in CLOSES:
-                break
-            if self.open[depth].name in CLOSES[tag]:
-                del self.open[depth:]
-        node = Node(tag)
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        self._end_string()
+        if self._muted is not None:
+            name, times = self._muted
+            self._muted = (name, times + (tag == name))
+        elif tag in self.dropped:
+            self._muted = (tag, 1)
+        else:
+            while any(self._scopes[-1][name] for name in CLOSES.get(tag, ())):
+                self._pop()
+            if tag in VOID:
+                self._frames[-1].recent.append("")
+            else:
+                self._push(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if not self.muted and tag not in self.dropped:
-            self.open[-1].children.append(Node(tag))
+        self._end_string()
+        if self._muted is None and tag not in self.dropped:
+            self._frames[-1].recent.append("")
 
     def handle_endtag(self, tag):
-        if self.muted:
-            if tag in self.muted:
-                del self.muted[len(self.muted) - 1 - self.muted[::-1].index(tag):]
+        self._end_string()
+        if self._muted is not None:
+            name, times = self._muted
+            times -= tag == name
+            self._muted = (name, times) if times else None
+        elif self._scopes[-1][tag] or (self._open[tag] and tag not in HELD_BY_TABLE):
+            while self._pop() != tag:
+                pass
+
+    def handle_comment(self, data):
+        self._end_string()
+
+    def handle_decl(self, decl):
+        self._end_string()
+
+    def handle_pi(self, data):
+        self._end_string()
+
+    def unknown_decl(self, data):
+        self._end_string()
+
+    def close(self):
+        super().close()
+        self._end_string()
+        while len(self._frames) > 1:
+            self._pop()
+        self._end_prose()
+
+    # ---- what they mean
+
+    def _end_string(self) -> None:
+        text, self._pending = "".join(self._pending), []
+        if not text:
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name == tag:
-                del self.open[depth:]
-                return
-            if self.open[depth].name == "table" and tag in ("td", "th", "tr", "p", "div", "span"):
-                return
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.open[-1].children.append(data)
-
-
-def parse(html: str, dropped) -> Node:
-    builder = _Builder(frozenset(dropped))
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def page_text(root: Node) -> str:
-    return "\n".join(root.strings())
-
-
-def _tidy(text: str) -> str:
-    return " ".join(text.split())
-
-
-def table_rows(table: Node) -> str:
-    """``a | b`` per row; rows without any text are left out."""
-    lines = []
-    for tr in table.find_all("tr"):
-        cells = [_tidy(" ".join(s.strip() for s in td.strings())) for td in tr.find_all("td", "th")]
-        if any(cells):
-            lines.append(" | ".join(cells))
-    return "\n".join(lines)
-
-
-def _captions_before(siblings: list, at: int) -> list[str]:
-    """Short texts among the four siblings in front of a node, in document order; bare ids do not count."""
-    found = []
-    for node in siblings[max(0, at - 4):at]:
-        if isinstance(node, Node):
-            text = "".join(s.strip() for s in node.strings())
-            if text and len(text) <= 300 and not (len(text) < 40 and re.fullmatch(r"[a-z0-9\-]+", text)):
-                found.append(text)
-    return found
-
-
-def page_segments(root: Node):
-    """(kind, text) in document order: runs of prose lines, and each table whole with its captions."""
-    lines: list[str] = []
-    out: list[tuple[str, str]] = []
-
-    def end_prose():
-        if lines:
-            out.append(("prose", "\n".join(lines)))
-            lines.clear()
-
-    def visit(node: Node, parents: list, at: int):
-        for i, child in enumerate(node.children):
-            if isinstance(child, str):
-                text = _tidy(child)
-                if text:
-                    lines.append(text)
-            elif child.name == "table":
-                end_prose()
-                rows = table_rows(child)
-                if rows:
-                    captions = _captions_before(parents, at) + _captions_before(node.children, i)
-                    out.append(("table", "\n".join([*captions, rows])))
-            elif child.name != "head":
-                visit(child, node.children, i)
-
-    visit(root, [], 0)
-    end_prose()
-    return out
+        self.strings.append(text)
+        self._frames[-1].say(text.strip())
+        self._frames[-1].recent.append("")
+        for cell in self._open_cells:
+            cell.append(text)
+        line = " ".join(text.split())
+        if line and not self._open["table"] and not self._open["head"]:
+            self._prose.append(line)
+
+    def _end_prose(self) -> None:
+        if self._prose:
+            self.segments.append(("prose", "\n".join(self._prose)))
+            self._prose = []
+
+    def _push(self, tag: str) -> None:
+        if tag == "table":
+            if not self._open["table"] and not self._open["head"]:
+                self._end_prose()
+                self._captions = [c for f in self._frames[-2:] for c in f.captions()]
+            self._scopes.append(Counter())
+        elif tag == "tr" and self._open["table"]:
+            row: list[list[str]] = []
+            self._rows.append(row)
+            self._open_rows.append(row)
+        elif tag in ("td", "th") and self._open["table"]:
+            cell: list[str] = []
+            for row in self._open_rows:
+                row.append(cell)
+            self._open_cells.append(cell)
+        # a table counts as open in the scope around it
+        self._scopes[-2 if tag == "table" else -1][tag] += 1
+        self._open[tag] += 1
+        self._frames.append(_Frame(tag))
+
+    def _pop(self) -> str:
+        frame = self._frames.pop()
+        name = frame.name
+        self._frames[-1].say(frame.said)
+        self._frames[-1].recent.append(frame.said)
+        if name == "table":
+            self._scopes.pop()
+        self._scopes[-1][name] -= 1
+        self._open[name] -= 1
+        if name == "tr" and self._open_rows:
+            self._open_rows.pop()
+        elif name in ("td", "th") and self._open_cells:
+            self._open_cells.pop()
+        elif name == "table" and not self._open["table"]:
+            self._end_table()
+        return name
+
+    def _end_table(self) -> None:
+        texts = [[" ".join(" ".join(cell).split()) for cell in row] for row in self._rows]
+        lines = [" | ".join(row) for row in texts if any(row)]
+        if lines and not self._open["head"]:
+            self.segments.append(("table", "\n".join([*self._captions, *lines])))
+        self._rows, self._open_rows, self._open_cells = [], [], []
+
+
+def read_page(html: str | None, dropped=()) -> PageReader:
+    """The page as read; a null page is an empty one."""
+    page = PageReader(dropped)
+    page.feed(html or "")
+    page.close()
+    return page

@@ -10,7 +10,7 @@ from redline import schemas
 from redline.operators import chunking as C
 from redline.operators import extract as X
 from redline.sources import filings as S
-from redline.sources import html as H
+from redline.sources.html import read_page
 from redline.sources import tables as TB
 
 PAGE = """<html><head><title>T</title><script>var a = "</p>";</script></head><body>
@@ -45,12 +45,21 @@ def test_segments_keep_tables_whole_with_their_caption(spark, pages):
 
 def test_captions_skip_ids_and_long_texts():
     def caption(before):
-        return H.page_segments(H.parse(f"<div>{before}<table><tr><td>x</td></tr></table></div>", []))[-1][1]
+        return read_page(f"<div>{before}<table><tr><td>x</td></tr></table></div>").segments[-1][1]
     assert caption("<p>aapl-20250927</p>") == "x"
     assert caption(f"<p>{'y' * 301}</p>") == "x"
     assert caption("<p>One</p><p>Two</p>") == "One\nTwo\nx"
 
 
+def test_deep_and_broken_pages_are_read():
+    deep = "<b>" * 100_000 + "end" + "</i>" * 100_000 + "<p>x" * 1000
+    assert read_page(deep).segments == [("prose", "\n".join(["end"] + ["x"] * 1000))]
+    assert read_page(None).segments == [] and read_page("<table><tr><td>a<td>b").segments == [("table", "a | b")]
+    nested = "<table><tr><td>a<table><tr><td>b</td></tr></table></td><td>c</td></tr></table>"
+    assert read_page(nested).segments == [("table", "a b | b | c\nb")]
+    assert read_page("<p>a < b</p><![if x]><p>c</p><![endif]>").segments == [("prose", "a < b\nc")]
+
+
 def test_sections_and_chunks(spark, pages):
     rows = C.chunk_sectionaware(pages, ["ticker", "fiscal_year"]).orderBy("chunk_no").collect()
     got = [(r.anchor, r.type, r.table_scale) for r in rows]
