@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,30 +102,65 @@ def _padded(seq: Column) -> Column:
     return F.format_string("%03d", seq)
 
 
-def word_delta(records: DataFrame, out: str = "word_delta") -> DataFrame:
-    """Append the tokens a change adds and removes, in text order.
+def _longest_common(a: np.ndarray, b: np.ndarray, keep_a: np.ndarray, keep_b: np.ndarray) -> None:
+    """Mark the members of one longest common subsequence of two code arrays, in memory linear in their length.
 
-    One-sided and identical texts are answered by expressions; only modified pairs reach the token
-    differ, all other rows pass it as nulls.
+    Common ends are marked first; the rest is halved where the scores of both halves of ``a`` against a split of
+    ``b`` add up highest, at the first such split.
     """
-    schema = "added array<string>, removed array<string>"
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[head:][::-1][:short - head] != b[head:][::-1][:short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    for mask in (keep_a, keep_b):
+        mask[:head] = True
+        mask[len(mask) - tail:] = True
+    a, keep_a = a[head:len(a) - tail], keep_a[head:len(keep_a) - tail]
+    b, keep_b = b[head:len(b) - tail], keep_b[head:len(keep_b) - tail]
+    if not len(a) or not len(b):
+        return
+    if len(a) == 1:
+        at = np.flatnonzero(b == a[0])
+        if len(at):
+            keep_a[0] = keep_b[at[0]] = True
+        return
+
+    def scores(x, y):
+        row = np.zeros(len(y) + 1, np.int32)
+        for code in x:
+            row[1:] = np.maximum.accumulate(np.where(y == code, row[:-1] + 1, row[1:]))
+        return row
+
+    half = len(a) // 2
+    split = int(np.argmax(scores(a[:half], b) + scores(a[half:][::-1], b[::-1])[::-1]))
+    _longest_common(a[:half], b[:split], keep_a[:half], keep_b[:split])
+    _longest_common(a[half:], b[split:], keep_a[half:], keep_b[split:])
+
 
-    @F.pandas_udf(schema)
+def word_delta(records: DataFrame, out: str = "word_delta") -> DataFrame:
+    """Append the tokens a change adds and removes: those outside one longest common subsequence, in text order.
+
+    Tokens are cut, and one-sided and identical texts answered, by expressions; only modified pairs reach the token
+    differ, all other rows pass it as nulls. Its time grows with the product of the differing middles' lengths.
+    """
+    @F.pandas_udf("added array<string>, removed array<string>")
     def diff_tokens(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        token = re.compile(r"\w+|[^\w\s]+")
         rows = []
         for o, n in zip(old, new):
             if o is None or n is None:
                 rows.append((None, None))
                 continue
-            steps = list(difflib.ndiff(token.findall(o), token.findall(n)))
-            rows.append(([s[2:] for s in steps if s.startswith("+ ")], [s[2:] for s in steps if s.startswith("- ")]))
+            codes = pd.factorize(np.concatenate([o, n]))[0]
+            keep = np.zeros(len(codes), bool)
+            _longest_common(codes[:len(o)], codes[len(o):], keep[:len(o)], keep[len(o):])
+            rows.append((n[~keep[len(o):]], o[~keep[:len(o)]]))
         return pd.DataFrame(rows, columns=["added", "removed"])
 
     empty = F.array().cast("array<string>")
     tokens = {c: F.regexp_extract_all(F.col(c), F.lit(TOKEN), F.lit(0)) for c in ("old_text", "new_text")}
     modified = (F.col("old_text") != "") & (F.col("new_text") != "") & (F.col("old_text") != F.col("new_text"))
-    done = records.withColumn("_d", diff_tokens(F.when(modified, F.col("old_text")), F.when(modified, F.col("new_text"))))
+    done = records.withColumn("_d", diff_tokens(*[F.when(modified, t) for t in tokens.values()]))
     same = F.col("old_text") == F.col("new_text")
     return done.withColumn(out, F.struct(
         F.when(modified, F.col("_d.added")).when(same, empty).otherwise(tokens["new_text"]).alias("added"),
@@ -136,16 +171,20 @@ def word_delta_multiset(pairs: DataFrame, keys: list[str], old: str = "old_text"
                         token: str = TOKEN) -> DataFrame:
     """Order-free token difference: (keys, token, n_added, n_removed), only tokens whose count changed.
 
-    Counting is map-side combined, so neither long texts nor very common tokens gather anywhere.
+    ``keys`` identify a row; the difference is local to it, so nothing is shuffled. A null text has no tokens.
     """
-    def side(c, sign):
-        return F.transform(F.regexp_extract_all(F.col(c), F.lit(token), F.lit(0)),
-                           lambda t: F.struct(t.alias("token"), F.lit(sign).alias("sign")))
-    # both sides leave the same row, so the pairs are computed once
-    net = (pairs.select(*keys, F.explode(F.concat(side(old, -1), side(new, 1))).alias("t"))
-           .groupBy(*keys, "t.token").agg(F.sum("t.sign").alias("net")))
-    return net.filter("net <> 0").select(*keys, "token", F.greatest("net", F.lit(0)).alias("n_added"),
-                                         F.greatest(-F.col("net"), F.lit(0)).alias("n_removed"))
+    @F.pandas_udf("array<struct<token:string,net:bigint>>")
+    def net_counts(old_tokens: pd.Series, new_tokens: pd.Series) -> pd.Series:
+        def net(o, n):
+            counts = Counter(() if n is None else n)
+            counts.subtract(() if o is None else o)
+            return [{"token": t, "net": c} for t, c in counts.items() if c]
+        return pd.Series([net(o, n) for o, n in zip(old_tokens, new_tokens)])
+
+    tokens = [F.regexp_extract_all(F.col(c), F.lit(token), F.lit(0)) for c in (old, new)]
+    net = pairs.select(*keys, F.explode(net_counts(*tokens)).alias("t")).select(*keys, "t.token", "t.net")
+    return net.select(*keys, "token", F.greatest("net", F.lit(0)).alias("n_added"),
+                      F.greatest(-F.col("net"), F.lit(0)).alias("n_removed"))
 
 
 def diff_records(aligned: DataFrame, signal: DataFrame | None = None, keys: list[str] = PAIR,

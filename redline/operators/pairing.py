@@ -40,8 +40,13 @@ def section_pairs(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_counts(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n") -> DataFrame:
-    """(ticker, fiscal_year, anchor, order, n): paragraphs per chunk, the only thing numbering needs to know."""
-    return with_known_anchor(docs).select(*SECTION, order, F.size(paragraphs(F.col("text"), sep)).cast("long").alias("n"))
+    """(ticker, fiscal_year, anchor, order, chunk_key, n, copies): paragraphs per chunk, all that numbering needs to know.
+
+    ``chunk_key`` tells chunks of one number apart (two filings of one year); ``copies`` counts equal ones.
+    """
+    return (with_known_anchor(docs).select(*SECTION, order, F.xxhash64("text").alias("chunk_key"),
+                                           F.size(paragraphs(F.col("text"), sep)).cast("long").alias("n"))
+            .groupBy(*SECTION, order, "chunk_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
 
 def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n",
@@ -50,11 +55,15 @@ def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\
 
     A section's text is its chunks in ``order``; since chunks are joined by blank lines, each chunk can be
     split on its own and only its paragraph *count* has to travel to number the section. Sections of any
-    size stay spread over the cluster. Pass stored ``counts`` to save a pass over the texts.
+    size stay spread over the cluster. Pass stored ``counts`` to save a pass over the texts. Chunks of one number are
+    taken in the order of their text's hash; a chunk stored twice (same section, number and text) is an error.
     """
     counts = paragraph_counts(docs, order, sep) if counts is None else counts
-    bases = prefix_sums(counts, SECTION, order, "n").select(*SECTION, order, "base")
-    return (with_known_anchor(docs).select(*SECTION, order, "text").join(bases, [*SECTION, order])
+    twice = F.raise_error(F.concat_ws(" ", F.lit("chunk stored twice:"), *SECTION, F.col(order).cast("string")))
+    bases = prefix_sums(counts, SECTION, order, "n", ties=["chunk_key"]).select(
+        *SECTION, order, "chunk_key", F.when(F.col("copies") > 1, twice).otherwise(F.col("base")).alias("base"))
+    return (with_known_anchor(docs).select(*SECTION, order, "text", F.xxhash64("text").alias("chunk_key"))
+            .join(bases, [*SECTION, order, "chunk_key"])
             .select(*SECTION, order, "base", F.posexplode(paragraphs(F.col("text"), sep)).alias("pos", "text"))
             .select(*SECTION, (F.col("base") + F.col("pos")).alias("idx"), order, "text"))
 

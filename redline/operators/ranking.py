@@ -15,14 +15,18 @@ BLOCK = 1 << 16
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str = "base",
-                block_size: int = 4096) -> DataFrame:
-    """``df`` plus ``out``: the sum of ``value`` over earlier rows (smaller integer ``order``) of the key."""
+                block_size: int = 4096, ties: list[str] | None = None) -> DataFrame:
+    """``df`` plus ``out``: the sum of ``value`` over earlier rows of the key.
+
+    Earlier means a smaller integer ``order``, then smaller ``ties``; rows that agree on all of them follow one another.
+    """
     blocked = df.withColumn("_block", F.floor(F.col(order) / block_size))
     totals = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
     before = totals.select(*keys, "_block", (
         F.sum("_sum").over(W.partitionBy(*keys).orderBy("_block")) - F.col("_sum")).alias("_before"))
     inside = blocked.withColumn("_inside", F.sum(value).over(
-        W.partitionBy(*keys, "_block").orderBy(order)) - F.col(value))
+        W.partitionBy(*keys, "_block").orderBy(order, *(ties or [])).rowsBetween(W.unboundedPreceding, W.currentRow))
+        - F.col(value))
     return (inside.join(before, [*keys, "_block"])
             .withColumn(out, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside"))
 

@@ -245,18 +245,71 @@ def test_store_round_trips(spark, tmp_path):
     assert rows(TB.read_jsonl(spark, str(tmp_path / "q.jsonl"), schemas.QUESTIONS), "id") == [("q1",), ("q2",)]
 
 
-def test_streamed_years_equal_one_batch(spark, tmp_path):
+@pytest.mark.parametrize("arrivals", [("1", "3", "2"), ("1", "4", "23"), ("4", "3", "2", "1")])
+def test_streamed_years_equal_one_batch(spark, tmp_path, arrivals):
     schema = "ticker string, fiscal_year string, anchor string, chunk_no int, text string"
-    docs = [("T", f"FY{y}", "a", c, f"common words here {c}\n\nyear {y} only {c} words") for y in (1, 2, 3) for c in (0, 1)]
+    years = sorted("".join(arrivals))
+    docs = [("T", f"FY{y}", "a", c, f"common words here {c}\n\nyear {y} only {c} words") for y in years for c in (0, 1)]
     src = str(tmp_path / "in")
     from pyspark.sql.types import _parse_datatype_string
-    for y in ("FY1", "FY3", "FY2"):  # the middle year arrives last and splits a pair
-        spark.createDataFrame([d for d in docs if d[1] == y], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def land(rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(src)
         stream = ingest.watch_documents(spark, src, _parse_datatype_string(schema))
         ingest.start_diffing(stream, str(tmp_path / "store"), str(tmp_path / "diffs"), str(tmp_path / "cp")).awaitTermination()
-    whole = diff_corpus(spark.createDataFrame(docs, schema))
-    stored = TB.read_diffs(spark, str(tmp_path / "diffs"))
+
+    for group in arrivals:
+        land([d for d in docs if d[1][2:] in group])
     cols = ["y_old", "y_new", "change_id", "classification", "new_text"]
-    assert rows(stored.filter("NOT (y_old = 'FY1' AND y_new = 'FY3')"), *cols) == rows(whole, *cols)
-    seen = spark.createDataFrame([("T", "FY1")], "ticker string, fiscal_year string")
-    assert ingest.unseen(whole.select("ticker", F.col("y_old").alias("fiscal_year")).distinct(), seen, ["ticker", "fiscal_year"]).count() == 1
+    whole = diff_corpus(spark.createDataFrame(docs, schema))
+    assert rows(TB.read_diffs(spark, str(tmp_path / "diffs")), *cols) == rows(whole, *cols)
+    # a filing that comes again, corrected and shorter, replaces the first delivery
+    again = ("T", "FY3", "a", 0, "common words here 0\n\none two five corrected")
+    land([again])
+    whole = diff_corpus(spark.createDataFrame([d for d in docs if d[1] != "FY3"] + [again], schema))
+    assert rows(TB.read_diffs(spark, str(tmp_path / "diffs")), *cols) == rows(whole, *cols)
+
+
+def test_unseen_documents(spark):
+    arrived = spark.createDataFrame([("T", "FY1"), ("T", "FY2")], "ticker string, fiscal_year string")
+    assert rows(ingest.unseen(arrived, arrived.limit(1), ["ticker", "fiscal_year"]), "ticker") == [("T",)]
+
+
+def test_chunks_of_one_number_are_numbered_apart_and_copies_are_an_error(spark):
+    from redline.operators.pairing import explode_paragraphs
+    schema = "ticker string, fiscal_year string, anchor string, chunk_no int, text string"
+    two = [("T", "FY1", "a", 0, "p\n\nq"), ("T", "FY1", "a", 0, "r\n\ns"), ("T", "FY1", "a", 1, "t")]
+    got = rows(explode_paragraphs(spark.createDataFrame(two, schema)), "idx", "text")
+    assert [i for i, _ in got] == [0, 1, 2, 3, 4] and sorted(t for _, t in got) == list("pqrst") and got[4][1] == "t"
+    with pytest.raises(Exception, match="chunk stored twice"):
+        explode_paragraphs(spark.createDataFrame([two[0], two[0]], schema)).collect()
+
+
+def test_word_delta_keeps_a_longest_common_subsequence(spark):
+    rnd = random.Random(3)
+    pairs = [(i, " ".join(rnd.choices("abcd", k=rnd.randint(1, 12))), " ".join(rnd.choices("abcd", k=rnd.randint(1, 12))))
+             for i in range(60)]
+    df = spark.createDataFrame(pairs, "i int, old_text string, new_text string")
+    got = {r.i: r.word_delta for r in C.word_delta(df).collect()}
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                best[x + 1][y + 1] = best[x][y] + 1 if a[x] == b[y] else max(best[x][y + 1], best[x + 1][y])
+        return best[-1][-1]
+
+    for i, old, new in pairs:
+        o, n = old.split(), new.split()
+        size = common(o, n)
+        assert len(got[i].removed) == len(o) - size and len(got[i].added) == len(n) - size
+        assert common(got[i].added, n) == len(got[i].added) and common(got[i].removed, o) == len(got[i].removed)
+
+
+def test_a_response_is_one_complete_value(spark):
+    from redline.operators.responses import parse_responses
+    cases = [('[{"change_id":"a"}] and also [note]', 0), ('So: [{"change_id":"a"}] ok', 1), ('{"change_id":"a"}', 1),
+             ('```json\n[{"change_id":"a"},{"change_id":"b"}]\n```', 2), ('[{"change_id":"a"}], [{"change_id":"b"}]', 0),
+             ("", 0), ("[]", 0), (None, 0), ('[{"change_id":"a"}', 0)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r.n for r in df.orderBy("i").select(F.size(parse_responses(F.col("t"))).alias("n")).collect()] == [n for _, n in cases]
