@@ -55,15 +55,15 @@ def chosen_answer(spark, sf_dir):
 
 
 @register("answer_numbers", """WITH n AS (SELECT conv_id, turn, CASE WHEN conv_id BETWEEN 1900 AND 2099
-      THEN [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0]
-      ELSE [(conv_id + turn / 10.0) * 1e6, turn, turn / 100.0, 0.0 - conv_id * 1e3] END AS numbers
-    FROM conversations WHERE turn < 10)
+      THEN [CAST(conv_id || '.' || turn AS DOUBLE) * 1e6, turn, turn / 100.0]
+      ELSE [CAST(conv_id || '.' || turn AS DOUBLE) * 1e6, turn, turn / 100.0, 0.0 - conv_id * 1e3] END AS numbers
+    FROM conversations)
 SELECT conv_id, turn, generate_subscripts(numbers, 1) - 1 AS pos, unnest(numbers) AS number FROM n""")
 def answer_numbers(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").filter("turn < 10")
+    t = table(spark, sf_dir, "conversations")
     c, n = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     text = F.concat(F.lit("Sales came to $"), c, F.lit("."), n, F.lit(" million, up "), n, F.lit("%, against ("), c,
-                    F.lit(") elsewhere. "), F.regexp_replace("text", "[0-9]", ""), F.lit("\nCitations: [chunk 12, 7]"))
+                    F.lit(") elsewhere. "), F.col("text"), F.lit("\nCitations: [chunk 12, 7]"))
     return t.select("conv_id", "turn", F.posexplode(N.extract_numbers(text, F.lit(1e3))).alias("pos", "number"))
 
 
@@ -122,7 +122,7 @@ _INTERP_SQL = f"""interps AS (SELECT source AS ticker, {_case(_ANCHORS)} AS anch
   'FY' || CAST(2021 + (doc_id // 20) % 4 AS VARCHAR) AS y_old, 'FY' || CAST(2022 + (doc_id // 20) % 4 AS VARCHAR) AS y_new,
   doc_id, source || '-' || {_case(_ANCHORS)} || '-' || format('{{:03d}}', doc_id) AS change_id,
   list_element(['material', 'notable', 'boilerplate'], CAST(doc_id % 3 AS INT) + 1) AS materiality,
-  doc_id % 11 = 0 AS unvalidated, substr(text, 1, 60) AS summary FROM documents)"""
+  doc_id % 11 = 0 AS unvalidated, text AS summary FROM documents)"""
 
 
 def _interpretations(spark, sf_dir):
@@ -135,7 +135,7 @@ def _interpretations(spark, sf_dir):
         F.concat(F.lit("FY"), 2022 + year).alias("y_new"), "doc_id",
         F.concat("source", F.lit("-"), anchor, F.lit("-"), F.format_string("%03d", i)).alias("change_id"),
         F.get(F.array(F.lit("material"), F.lit("notable"), F.lit("boilerplate")), (i % 3).cast("int")).alias("materiality"),
-        (i % 11 == 0).alias("unvalidated"), F.substring("text", 1, 60).alias("summary"),
+        (i % 11 == 0).alias("unvalidated"), F.col("text").alias("summary"),
         F.lit(None).cast("string").alias("why_it_matters"), F.lit("").alias("old_quote"), F.lit("").alias("new_quote"))
 
 
@@ -224,13 +224,19 @@ def _changes(spark, sf_dir):
                     F.col("text").alias("old_text"), F.reverse("text").alias("new_text"))
 
 
+def _quote(text):
+    """Twenty characters from a place anywhere in the text that depends on the document."""
+    at = F.pmod(F.col("doc_id") * 7919, F.greatest(F.length(text) - 20, F.lit(1))) + 1
+    return F.substring(F.col(text), at.cast("int"), F.lit(20))
+
+
 def _response_text(changes, retry):
     m = F.col("doc_id") % 10
-    quote = F.when((m == 1) & F.lit(not retry), "no such words").otherwise(F.substring("old_text", 1, 20))
+    quote = F.when((m == 1) & F.lit(not retry), "no such words").otherwise(_quote("old_text"))
     item = F.to_json(F.struct(
         "change_id", F.when(m == 2, "improved").otherwise("expanded").alias("change_type"),
         F.when(m == 3, "huge").otherwise("notable").alias("materiality"), F.lit("s").alias("summary"),
-        F.lit("w").alias("why_it_matters"), quote.alias("old_quote"), F.substring("new_text", 1, 20).alias("new_quote")))
+        F.lit("w").alias("why_it_matters"), quote.alias("old_quote"), _quote("new_text").alias("new_quote")))
     # a batch holds five documents
     items = changes.filter(m != 0).groupBy("ticker", "batch_no").agg(
         F.array_join(F.array_sort(F.collect_list(item)), ",").alias("items"))

@@ -156,11 +156,12 @@ _QUESTIONS_SQL = """questions AS (
          CASE WHEN (vec_id // 25) % 8 = 5 THEN 'web' WHEN (vec_id // 25) % 8 = 6 THEN 'abstain' ELSE 'corpus' END AS expected_route,
          CASE WHEN (vec_id // 25) % 3 = 0 THEN vec_id * CASE WHEN (vec_id // 25) % 2 = 0 THEN 1e6 ELSE 1.0 END END AS gold_value
   FROM embeddings WHERE vec_id % 25 = 0)"""
-_ANSWERS_SQL = """said AS (SELECT conv_id, min_by(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+_ANSWERS_SQL = """said AS (SELECT conv_id % (SELECT count(*) FROM questions) AS n, string_agg(text, ' ' ORDER BY conv_id, turn) AS text
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 answers AS (
   SELECT question_id, CASE (question_id // 25) % 4 WHEN 1 THEN 'Not found in corpus.' WHEN 2 THEN coalesce(text, '') || ' [web]'
     ELSE 'The amount is ' || CAST(question_id AS VARCHAR) || ' million. ' || coalesce(text, '') END AS answer
-  FROM questions LEFT JOIN said ON conv_id = question_id // 25)"""
+  FROM questions LEFT JOIN said ON n = question_id // 25)"""
 
 
 def _questions(asks):
@@ -172,11 +173,15 @@ def _questions(asks):
 
 
 def _answers(spark, sf_dir, asks):
-    said = (table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-            .groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")))
+    # every assistant turn goes to one question; a question's answer is all of its turns
+    total = asks.agg(F.count(F.lit(1)).alias("total"))  # one row
+    turn = F.struct("conv_id", "turn", "text")
+    said = (table(spark, sf_dir, "conversations").filter("role = 'assistant'").join(F.broadcast(total))
+            .groupBy((F.col("conv_id") % F.col("total")).alias("n"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["text"]), " ").alias("text")))
     n = F.floor(F.col("question_id") / 25)
     text = F.coalesce("text", F.lit(""))
-    return (asks.select(F.col("query_id").alias("question_id")).withColumn("conv_id", n).join(said, "conv_id", "left")
+    return (asks.select(F.col("query_id").alias("question_id")).withColumn("n", n).join(said, "n", "left")
             .select("question_id", F.when(n % 4 == 1, "Not found in corpus.")
                     .when(n % 4 == 2, F.concat(text, F.lit(" [web]")))
                     .otherwise(F.concat(F.lit("The amount is "), F.col("question_id").cast("string"),
