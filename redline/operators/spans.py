@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SPAN_BIN = 2048
 GRAM = 5
+SHORT_CHARS = 8
 
 
 def span_overlap(left: DataFrame, right: DataFrame, on: list[str], bin_size: int = SPAN_BIN) -> DataFrame:
@@ -31,28 +32,37 @@ def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     """(doc_id, passage_id, start, end) of the first literal occurrence of each passage in each document.
 
     The words of a passage other than its first and last must occur as whole words in any document that
-    contains it, so one run of such words is an exact join key; whole texts are then checked literally.
-    Passages need at least three words.
+    contains it, so one run of such words is an exact join key. A passage of fewer than three words may lie
+    inside words; its key is its first characters, looked for at every character. Whole texts are then
+    checked literally. An empty or null passage occurs nowhere.
     """
     def words(c):
         return F.split(c, r"(?U)\s+")
 
-    p = passages.select(passage_id, F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    p = p.withColumn("g", F.least(F.lit(gram), F.size("w") - 2))
-    sizes = [r.g for r in p.select("g").distinct().collect()]  # at most ``gram`` different values
-    if any(g < 1 for g in sizes):
-        raise ValueError("passages need at least three words")
-    keys = p.select(passage_id, "g", F.expr("xxhash64(slice(w, 2, g))").alias("key"))
-    w = docs.select(doc_id, words(F.col("text")).alias("w"))
-    grams = None
-    for g in sorted(sizes):
-        one = w.filter(F.size("w") >= g).select(
-            doc_id, F.lit(g).alias("g"), F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.size("w") - g + 1), lambda i: F.xxhash64(F.slice("w", i, g))))).alias("key"))
-        grams = one if grams is None else grams.unionAll(one)
-    if grams is None:
-        grams = w.select(doc_id, F.lit(0).alias("g"), F.lit(0).cast("long").alias("key")).limit(0)
-    near = grams.join(keys, ["g", "key"]).select(doc_id, passage_id).distinct()
+    def characters(c):
+        return F.split(c, "")
+
+    p = passages.filter(F.length("text") > 0).select(passage_id, F.col("text").alias("passage"))
+    inner = F.least(F.lit(gram), F.size(words(F.col("passage"))) - 2)
+    by_words = inner >= 1
+    p = p.withColumns({"unit": F.when(by_words, "word").otherwise("character"),
+                       "g": F.when(by_words, inner).otherwise(F.least(F.lit(SHORT_CHARS), F.length("passage")))})
+    kinds = [(r.unit, r.g) for r in p.select("unit", "g").distinct().collect()]  # at most gram + SHORT_CHARS of them
+    keys = p.select(passage_id, "unit", "g", F.when(
+        F.col("unit") == "word", F.xxhash64(F.slice(words(F.col("passage")), F.lit(2), F.col("g"))))
+        .otherwise(F.xxhash64(F.slice(characters(F.col("passage")), F.lit(1), F.col("g")))).alias("key"))
+    grams = docs.select(doc_id, F.lit("word").alias("unit"), F.lit(0).alias("g"), F.lit(0).cast("long").alias("key")).limit(0)
+
+    def runs(g):
+        starts = F.sequence(F.lit(1), F.size("w") - g + 1)
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(g)))))
+
+    for unit, g in sorted(kinds):
+        split = words if unit == "word" else characters
+        w = docs.select(doc_id, split(F.col("text")).alias("w")).filter(F.size("w") >= g)
+        grams = grams.unionAll(w.select(doc_id, F.lit(unit).alias("unit"), F.lit(g).alias("g"),
+                                        F.explode(runs(g)).alias("key")))
+    near = grams.join(keys, ["unit", "g", "key"]).select(doc_id, passage_id).distinct()
     checked = (near.join(docs.select(doc_id, "text"), doc_id).join(p.select(passage_id, "passage"), passage_id)
                .withColumn("start", F.expr("locate(passage, text)") - 1))
     return checked.filter(F.col("start") >= 0).select(

@@ -270,6 +270,14 @@ def test_streamed_years_equal_one_batch(spark, tmp_path, arrivals):
     assert rows(TB.read_diffs(spark, str(tmp_path / "diffs")), *cols) == rows(whole, *cols)
 
 
+def test_short_passages_are_found_inside_words(spark):
+    docs = spark.createDataFrame([(1, "the catalogue of rare birds"), (2, "a cat"), (3, None), (4, "")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "cat"), (2, "e of"), (3, "catalogue of rare birds"), (4, ""), (5, None), (6, "logue of ra")],
+                                  "item_id int, text string")
+    got = rows(SP.find_passages(docs, asked), "item_id", "doc_id", "start", "end")
+    assert got == [(1, 1, 4, 7), (1, 2, 2, 5), (2, 1, 12, 16), (3, 1, 4, 27), (6, 1, 8, 19)]
+
+
 def test_unseen_documents(spark):
     arrived = spark.createDataFrame([("T", "FY1"), ("T", "FY2")], "ticker string, fiscal_year string")
     assert rows(ingest.unseen(arrived, arrived.limit(1), ["ticker", "fiscal_year"]), "ticker") == [("T",)]
