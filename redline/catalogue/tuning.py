@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from redline.catalogue import register
 from redline.catalogue.views import DOCS_SQL, documents, table
 from redline.operators import tuning as TU
-from redline.session import spread  # noqa: F401
 
 # Similarity stands in as a function of text length; quality and toxicity stand in for the label.
 _LABELS_SQL = """labelled AS (SELECT doc_id, (n_chars % 1000) / 1000.0 AS similarity,
