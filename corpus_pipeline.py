@@ -17,6 +17,12 @@ from redline.llm.common import table
 from redline.session import checkpoint_dir
 
 
+#: Similarity, in hundredths, from which documents are near copies, and bands of minima that miss a pair exactly there with
+#: probability (1 - 0.8^5)^38, 3 in ten million.
+NEAR = 80
+NEAR_BANDS, NEAR_ROWS = 38, 5
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -33,8 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by near-duplicate word shingles: the one of the smallest id."""
-    return near_dup.keep_first(docs)
+    """One document of each group linked by word shingles of similarity 0.8 or more: the one of the smallest id."""
+    return near_dup.keep_first(docs, NEAR, NEAR_BANDS, NEAR_ROWS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,13 +250,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_first(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates, with all columns of ``docs``.
 
     Repeated rows of a kept id become one. Rows without id all stay.
     """
-    kept = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null")
+    kept = near_duplicates(docs, threshold, bands, rows, id_col, text_col).filter("kept and doc_id is not null")
     kept = cut_lineage(kept.select(F.col("doc_id").alias(id_col)))
     named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -54,6 +54,24 @@ def test_pipeline_stage_by_stage(spark):
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_pipeline_drops_near_copies_from_similarity_080(spark):
+    """Pairs of 0.80 to 0.849 go too, one just below 0.80 stays, and the stage equals a comparison of all pairs at 80."""
+    base = [[f"w{k}x{i}" for i in range(104)] for k in range(40)]
+    data = []
+    for k, words in enumerate(base):
+        data.append((2 * k, " ".join(words)))
+        extra = 25 if k % 2 else 26  # 100 shingles of 125, or of 126
+        data.append((2 * k + 1, " ".join(words + [f"y{k}x{i}" for i in range(extra)])))
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), SF)
+    want = odd.near_dup(data, 80)
+    got = {r.doc_id for r in out.collect()}
+    assert got == {i for i, (_, p) in want.items() if i == p} and len(got) == 60
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = odd.near_dup([(r.doc_id, r.text) for r in docs.collect()], 80)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert got == {i for i, (_, p) in want.items() if i == p}
+
+
 def test_stages_take_awkward_and_empty_tables(spark):
     for data in (odd.rows(), []):
         docs = odd.documents(spark, data)
