@@ -12,7 +12,8 @@ orders the blocks anew, and the documents inside each block. A last pass needs r
 block where it stops, never over a source.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none and stay in every whole pass. A null source is a
-source of its own. A row without doc_id is known by its text's digest. A source without tokens passes once.
+source of its own. A row without doc_id is known by its text's digest, and one without text too by an empty key; where
+more of them share a key than a block holds, they fall into blocks one by one. A source without tokens passes once.
 """
 
 from __future__ import annotations
@@ -102,20 +103,31 @@ def source_budgets(slim: DataFrame, target: Target) -> DataFrame:
 
 
 def mix(docs: DataFrame, target: Target | None = None, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id",
-        source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(_id, _key, _src, _tokens, epoch, block, place): every reading of every document.
+        source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(_id, _key, _row, _src, _tokens, epoch, block, place): every reading of every document.
 
     ``block`` numbers the source's blocks in the order of that pass, ``place`` the documents inside; both from 0.
+    ``row_col`` names a column that numbers the rows; then rows of one id may fall into several blocks too, if they are
+    more than a block holds.
     """
     target = target or Target()
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     slim = docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("string"), F.md5(text_col)).alias("_key"),
+        F.col(id_col).alias("_id"), row.alias("_row"),
+        F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit("")).alias("_key"),
         F.col(source_col).alias("_src"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_tokens"))
     slim = cut_lineage(slim)
     budgets = source_budgets(slim, target)
     n_blocks = F.ceil(F.col("docs") / F.lit(block_docs))
-    spot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("block"), "_key")), 1, 8), 16, 10).cast("long")
+    heavy = slim if row_col is not None else slim.filter("_id is null")
+    heavy = cut_lineage(heavy.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("n"))
+                        .filter(F.col("n") > block_docs).select("_k"))
+    single = F.col("_k").isNotNull() & (F.lit(row_col is not None) | F.col("_id").isNull())
+    slim = (slim.join(heavy, slim["_key"] == heavy["_k"], "left")
+            .withColumn("_one", F.when(single, F.col("_row").cast("string"))).drop("_k"))
+    # concat_ws leaves a null out: other rows fall by their key alone
+    spot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("block"), "_key", "_one")), 1, 8), 16, 10).cast("long")
     small = budgets.select(F.col("_src").alias("_s"), "docs", "passes", "rest")
     placed = (slim.join(small, slim["_src"].eqNullSafe(small["_s"])).drop("_s")
               .withColumn("_block", F.pmod(spot, n_blocks).cast("long")))
@@ -133,33 +145,26 @@ def mix(docs: DataFrame, target: Target | None = None, block_docs: int = BLOCK_D
     cells = (placed.drop("passes", "rest", "docs")
              .join(passes, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))))
     inside = (Window.partitionBy("_src", "epoch", "_block")
-              .orderBy(_shuffle_key(F.col("epoch"), F.col("_key")), "_key", "_tokens"))
+              .orderBy(_shuffle_key(F.col("epoch"), F.col("_key"), F.col("_one")), "_key", "_tokens", "_row"))
     before = F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return (cells.withColumn("place", (F.row_number().over(inside) - 1).cast("long"))
             .withColumn("before", F.coalesce(before, F.lit(0)))
             .filter("epoch < passes or ahead + before < rest")
-            .select("_id", "_key", "_src", "_tokens", "epoch", "block", "place"))
+            .select("_id", "_key", "_row", "_src", "_tokens", "epoch", "block", "place"))
 
 
 def mixed_rows(docs: DataFrame, target: Target | None = None, id_col: str = "doc_id", source_col: str = "source",
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as often as the mix reads them, dealt out block by block.
+    """The rows of ``docs``, each as often as the mix reads it, dealt out block by block.
 
     Partitions hold whole blocks; inside a partition, blocks and their documents stand in the order of the permutation.
     """
-    key, copies, own_key = free_name(docs, "_mix"), free_name(docs, "_copies"), free_name(docs, "_key")
-    turns = mix(docs, target, id_col=id_col, source_col=source_col, text_col=text_col)
+    key, row = free_name(docs, "_mix"), free_name(docs, "_row")
+    held = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that numbers stay
+    turns = mix(held, target, id_col=id_col, source_col=source_col, text_col=text_col, row_col=row)
     where = F.struct(_shuffle_key(F.coalesce(F.col("_src"), F.lit("\0")), F.col("epoch"), F.col("block"),
                                   F.lit("all")).alias("b"), F.col("place").alias("p"))
-    # repeated rows of one document share a key: as many turns as the rows have together, dealt out one by one
-    per = turns.groupBy(F.col("_key").alias(own_key)).agg(F.sort_array(F.collect_list(where)).alias(copies))
-    same = Window.partitionBy(own_key).orderBy(F.lit(0))
-    held = docs.withColumn(own_key, F.coalesce(F.col(id_col).cast("string"), F.md5(text_col)))
-    joined = held.join(per, own_key)
-    rank, rows = free_name(docs, "_rank"), free_name(docs, "_rows")
-    joined = joined.withColumn(rank, F.row_number().over(same)).withColumn(rows, F.count("*").over(same))
-    own = F.filter(F.col(copies), lambda x, i: F.pmod(i, F.col(rows)) == F.col(rank) - 1)
-    out = joined.withColumn(key, F.explode(own)).select(*docs.columns, key)
+    out = held.join(turns.select(F.col("_row").alias(row), where.alias(key)), row).select(*docs.columns, key)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, F.col(f"{key}.b")).sortWithinPartitions(key).drop(key)
 

@@ -92,6 +92,25 @@ def test_mixing_targets(spark):
     assert mixing.mixed_rows(odd.documents(spark)).columns == odd.documents(spark).columns
 
 
+def test_mixed_rows_keep_every_row_and_split_heavy_keys(spark):
+    docs = odd.documents(spark)
+    turns = sorted((r["_id"] is None, r["_id"] or 0, r["_tokens"]) for r in mixing.mix(docs).collect())
+    got = mixing.mixed_rows(docs).collect()
+    assert {r["_key"] for r in got} == {r[7] for r in odd.rows()}  # 91 has neither id nor text
+    assert turns == sorted((r.doc_id is None, r.doc_id or 0, len(odd.WORDS.findall(r.text or ""))) for r in got)
+    # one text without id, neither id nor text, and one repeated id of two sources, far above a block's size
+    data = ([(None, "", "a")] * 2500 + [(None, None, "a")] * 2500 + [(7, "x y", "a")] * 2500 + [(7, "x y z", "b")] * 40
+            + [(i, f"t {i}", "a") for i in range(100, 2600)])
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mixed_rows(df).groupBy("doc_id", "text", "source").count().collect()
+    n = {(r.doc_id, r.text, r.source): r["count"] for r in out}
+    assert n[None, "", "a"] == n[None, None, "a"] == n[7, "x y", "a"] == 2500
+    assert 40 <= n[7, "x y z", "b"] <= 80 and len(out) == 2504
+    held = df.withColumn("r", F.monotonically_increasing_id()).localCheckpoint()
+    sizes = mixing.mix(held, row_col="r").groupBy("_src", "epoch", "block").count().agg(F.max("count")).first()
+    assert sizes[0] < 1300
+
+
 def test_pieces_equal_the_library(spark):
     spm = pytest.importorskip("sentencepiece")
     import public_tokenizers
