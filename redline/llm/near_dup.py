@@ -148,6 +148,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def may_reach(x: np.ndarray, ys: np.ndarray, nx: int, ns: np.ndarray, threshold: int) -> np.ndarray:
     """Places in ``ys`` (signatures, with set sizes ``ns``) that may reach the threshold with ``x``."""
+    nx, ns = np.int64(nx), np.asarray(ns).astype(np.int64)  # sizes come as 32-bit byte counts
     at = np.flatnonzero(100 * np.minimum(nx, ns) >= threshold * np.maximum(nx, ns))
     for width in (SHORT, WIDE):
         at = at[(ys[at, :width] == x[:width]).sum(axis=1) >= least_agreement(threshold, width)]

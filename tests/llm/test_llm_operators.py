@@ -62,6 +62,14 @@ def test_near_dup_chain_and_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == odd.near_dup(data)
 
 
+def test_may_reach_with_sets_of_many_megabytes():
+    sig = np.zeros((1, near_dup.WIDE), np.uint8)
+    for x, y in ((22_000_000, 22_400_000), (64_500_000, 65_000_000), (2**31 - 9, 2**31 - 1)):
+        assert near_dup.may_reach(sig[0], sig, np.int32(x), np.array([y], np.int32), 85).tolist() == [0]
+        assert near_dup.may_reach(sig[0], sig, x, np.array([y], np.int32), 85).tolist() == [0]
+    assert not len(near_dup.may_reach(sig[0], sig, 2**31 // 100, np.array([2**31 - 1], np.int32), 85))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
