@@ -8,6 +8,7 @@ from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
 from redline.llm.line_frequency import OP1_SQL, op1_line_frequency
 from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
+from redline.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from redline.llm.pieces import op7_sentencepiece
 from redline.llm.sentence_spans import op8_sentence_spans
 from redline.llm.toxicity import op10_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLES = {
     "op5_near_dup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
