@@ -10,6 +10,7 @@ from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
 from redline.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from redline.llm.pieces import op7_sentencepiece
+from redline.llm.ranked_search import OP13_SQL, op13_ranked_search
 from redline.llm.sentence_spans import op8_sentence_spans
 from redline.llm.toxicity import op10_toxicity
 from redline.llm.url_filter import OP9_SQL, op9_url_filter
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
@@ -34,4 +36,5 @@ ORACLES = {
     "op6_line_dedup": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
