@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from redline.session import cut_lineage
+
 BLOCK = 1 << 16
 
 
@@ -67,3 +69,24 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, out
     """First ``k`` rows per key, ranked from 1. ``k`` is small, so Spark prunes before the shuffle."""
     return (df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
             .filter(F.col(out) <= k))
+
+
+def ordered_positions(df: DataFrame, order: list[str | Column], out: str = "position") -> DataFrame:
+    """``df`` plus ``out``: the 0-based position of every row in one global order.
+
+    Rows are dealt out by ranges of the order and sorted inside each range; the driver adds up one count per range, a number
+    of partitions, so no task holds more than a range. Rows that agree on the whole order follow one another in any order.
+    """
+    spark = df.sparkSession
+    at = "_" * max([1, *(len(c) - len(c.lstrip("_")) + 1 for c in df.columns)]) + "at"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(at, 33)
+    before, base = 0, []
+    for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):
+        base.append((p, before))
+        before += n
+    offsets = spark.createDataFrame(base, f"{at}p long, {at}base long")
+    return (placed.join(F.broadcast(offsets), part == F.col(f"{at}p"))
+            .withColumn(out, F.col(f"{at}base") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop(at, f"{at}p", f"{at}base"))
