@@ -8,6 +8,7 @@ from redline.llm.line_dedup import OP6_SQL, op6_line_dedup
 from redline.llm.line_frequency import OP1_SQL, op1_line_frequency
 from redline.llm.mixing import OP3_SQL, op3_mixing
 from redline.llm.near_dup import OP5_SQL, op5_near_dup
+from redline.llm.page_difference import op12_page_difference
 from redline.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from redline.llm.pieces import op7_sentencepiece
 from redline.llm.ranked_search import OP13_SQL, op13_ranked_search
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_page_difference": op12_page_difference,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLES = {
