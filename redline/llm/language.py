@@ -7,13 +7,13 @@ of its words' sums, and a task computes each distinct word once. Probabilities a
 Spark sums expected piece counts over the distinct words of the training texts, the driver normalises them (vocabulary
 times languages numbers).
 
-Fitting uses at most ``rows_per_language`` rows of each language (chosen by a hash of the id, whole texts of at most
-``max_fit_chars`` characters); prediction reads every text whole. Words are runs of letters, lowered.
+Fitting uses at most ``rows_per_language`` rows of each language (chosen by a hash of the id, whole texts); prediction reads every text whole. Words are runs of letters, lowered.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,59 +105,56 @@ def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
 
 
-def _weights(e: tuple[np.ndarray, ...], chance: np.ndarray, scale: float) -> np.ndarray:
-    """Probability of each edge, times ``scale`` per character."""
-    own, begin, end, count, steps = e
+def _log_weights(e: tuple[np.ndarray, ...], chance: np.ndarray) -> np.ndarray:
+    """Log probability of each edge."""
+    count, steps = e[3:]
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    return np.multiply.reduceat(chance[steps], first, axis=0) * (scale ** (end - begin))[:, None]
+    return np.add.reduceat(np.log(chance)[steps], first, axis=0)
+
+
+def _log_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of every slice of rows that begins at ``first``."""
+    top = np.maximum.reduceat(values, first, axis=0)
+    sizes = np.diff(np.append(first, len(values)))
+    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, sizes, axis=0)), first, axis=0))
 
 
-def forward(words: list[str], vocab: Vocabulary, chance: np.ndarray, scale: float = 24.0):
+def forward(words: list[str], vocab: Vocabulary, chance: np.ndarray):
     """Log of the sum over all segmentations, per word and language; also what the backward pass needs.
 
-    Values are kept near one by ``scale`` and, in long words, by dividing the last positions every few steps.
+    All sums are kept as logarithms, so neither long words nor rare letters leave the range of numbers.
     """
     n = np.array([len(w) + 1 for w in words])
     e = edges(words, vocab)
-    p = _weights(e, chance, scale)
-    reach = np.zeros((len(words), n.max() + 1, chance.shape[1]))
-    reach[:, 0] = 1.0
-    log = np.tile(-n[:, None] * np.log(scale), (1, chance.shape[1]))
+    p = _log_weights(e, chance)
+    reach = np.full((len(words), n.max() + 1, chance.shape[1]), -np.inf)
+    reach[:, 0] = 0.0
     order = np.lexsort((e[0], e[2]))
     stop = np.searchsorted(e[2][order], np.arange(n.max() + 2))
     for j in range(1, n.max() + 1):
         at = order[stop[j]:stop[j + 1]]
-        if not len(at):
-            continue
-        w = e[0][at]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        reach[w[first], j] = np.add.reduceat(reach[w, e[1][at]] * p[at], first, axis=0)
-        if j % vocab.longest == 0 and n.max() > 3 * vocab.longest:
-            back = slice(max(0, j - vocab.longest), j + 1)
-            live = n >= j
-            top = reach[live, back].max(axis=1)
-            reach[live, back] /= top[:, None, :]
-            log[live] += np.log(top)
-    return log + np.log(reach[np.arange(len(words)), n]), (n, e, p, reach)
+        if len(at):
+            w = e[0][at]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            reach[w[first], j] = _log_sums(reach[w, e[1][at]] + p[at], first)
+    return reach[np.arange(len(words)), n], (n, e, p, reach)
 
 
 def expected_counts(words: list[str], times: np.ndarray, vocab: Vocabulary, chance: np.ndarray) -> np.ndarray:
     """Expected uses of each piece per language; ``times`` has how often each word was seen in each language."""
-    _, (n, e, p, reach) = forward(words, vocab, chance)
+    total, (n, e, p, reach) = forward(words, vocab, chance)
     own, begin, end, count, steps = e
-    rest = np.zeros_like(reach)
-    rest[np.arange(len(words)), n] = 1.0
+    rest = np.full_like(reach, -np.inf)
+    rest[np.arange(len(words)), n] = 0.0
     order = np.lexsort((own, begin))
     stop = np.searchsorted(begin[order], np.arange(n.max() + 1))
     for i in range(n.max() - 1, -1, -1):
         at = order[stop[i]:stop[i + 1]]
-        if not len(at):
-            continue
-        w = own[at]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        rest[w[first], i] = np.add.reduceat(rest[w, end[at]] * p[at], first, axis=0)
-    total = reach[np.arange(len(words)), n]
-    use = reach[own, begin] * p * rest[own, end] / total[own] * times[own]
+        if len(at):
+            w = own[at]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            rest[w[first], i] = _log_sums(rest[w, end[at]] + p[at], first)
+    use = np.exp(reach[own, begin] + p + rest[own, end] - total[own]) * times[own]
     out = np.zeros((vocab.size, chance.shape[1]))
     spread = np.repeat(use, count, axis=0)
     for lang in range(chance.shape[1]):
@@ -165,17 +162,31 @@ def expected_counts(words: list[str], times: np.ndarray, vocab: Vocabulary, chan
     return out
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, rows_per_language: int = 500, max_fit_chars: int = 20_000,
-        rounds: int = 3, smooth: float = 0.02) -> LanguageModel | None:
+def like_lengths(words: list[str], languages: int, cells: int = 1_600_000) -> Iterator[tuple[int, int]]:
+    """Slices of words sorted by length whose tables of sums have at most ``cells`` numbers (a single word may have more)."""
+    start = 0
+    while start < len(words):
+        stop = min(start + 4000, len(words))
+        while stop - start > 1 and (stop - start) * (len(words[stop - 1]) + 2) * languages > cells:
+            stop = start + (stop - start) // 2
+        yield start, stop
+        start = stop
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, rows_per_language: int = 500, rounds: int = 3,
+        smooth: float = 0.02) -> LanguageModel | None:
     """Fit on a bounded sample of rows with a language outside the held-out quarter; None if there are none.
 
-    Words of more than 40 letters take no part in fitting. More than MAX_LANGUAGES languages raise ValueError.
+    The sample is made of the rows of smallest hash of each language. A threshold on the hash, set from the language's count
+    to let about twice as many rows pass, keeps the ranking small. More than MAX_LANGUAGES languages raise ValueError.
     """
     spark = docs.sparkSession
     usable = docs.select("doc_id", "lang", "text").filter(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")
-        & F.length("text").between(1, max_fit_chars))
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
     ids = usable.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    pace = F.greatest(F.lit(1), F.floor(F.col("_n") / (2 * rows_per_language + 100)))
+    ids = ids.join(counts, "lang").filter(F.pmod(F.shiftrightunsigned("_h", 24), pace) == 0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     ids = ids.withColumn("_r", rank).filter(F.col("_r") <= rows_per_language).select("doc_id", "lang").distinct()
     ids = cut_lineage(ids)
@@ -191,8 +202,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, rows_per_language: int = 500, max_fi
         seen: dict[tuple[str, int], int] = {}
         for lang, t in zip(column(b, "lang").to_pylist(), column(b, "text").to_pylist(), strict=True):
             for w in letters_words(t):
-                if len(w) <= 40:
-                    seen[w, at[lang]] = seen.get((w, at[lang]), 0) + 1
+                seen[w, at[lang]] = seen.get((w, at[lang]), 0) + 1
         return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()),
              pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
@@ -207,11 +217,13 @@ def fit(docs: DataFrame, vocab: Vocabulary, rows_per_language: int = 500, max_fi
             v, out = Vocabulary(pieces), None
             for b in batches:
                 names = column(b, "word").to_pylist()
-                langs, n = column(b, "lang").to_numpy(), column(b, "n").to_numpy()
-                for s in range(0, len(names), 4000):
-                    part = names[s:s + 4000]
+                order = sorted(range(len(names)), key=lambda i: len(names[i]))
+                names = [names[i] for i in order]
+                langs, n = column(b, "lang").to_numpy()[order], column(b, "n").to_numpy()[order]
+                for s, stop in like_lengths(names, now.shape[1]):
+                    part = names[s:stop]
                     times = np.zeros((len(part), now.shape[1]))
-                    times[np.arange(len(part)), langs[s:s + 4000]] = n[s:s + 4000]
+                    times[np.arange(len(part)), langs[s:stop]] = n[s:stop]
                     got = expected_counts(part, times, v, now)
                     out = got if out is None else out + got
             if out is not None:
@@ -241,18 +253,13 @@ class WordScores:
         if len(self.row) > self.limit:
             self.row = {}
         new = sorted({w for w in words if w not in self.row}, key=len)
-        start = 0
-        while start < len(new):  # words of like length together, so that one long word makes no large table
-            stop = min(start + 4000, len(new))
-            while stop - start > 1 and (stop - start) * (len(new[stop - 1]) + 2) > 400_000:
-                stop = start + (stop - start) // 2
+        for start, stop in like_lengths(new, len(self.model.languages)):
             got, _ = forward(new[start:stop], self.vocab, self.model.chance)
             base = len(self.row)
             while base + len(got) > len(self.values):
                 self.values = np.concatenate([self.values, np.empty_like(self.values)])
             self.values[base:base + len(got)] = got
             self.row.update((w, base + i) for i, w in enumerate(new[start:stop]))
-            start = stop
 
     def sums(self, docs: list[list[str]]) -> np.ndarray:
         """Log likelihood per document and language; every document has words."""
