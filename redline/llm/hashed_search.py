@@ -12,8 +12,9 @@ Queries that find fewer than k codes are run again with the radius of the whole
 
 Shards and blocks of queries meet as packed rows, so no pair of vectors is a row; each task holds one shard and one block.
 Every vector is indexed; the sample (``fit_rows`` rows chosen by a hash of the id) only shapes rotations and radius.
-Null ids and vectors that are null, zero, of another length than the first sampled one, or that hold nulls or
-non-finite components take no part. Rows with equal ids and vectors are one row.
+Null ids and vectors that are null, zero, of another than the most frequent length (the smaller one at a tie), or that hold
+nulls or non-finite components take no part. Rows of one id are one row; of several vectors left for an id, the smallest
+in the order of their components stands. A single row finds nothing.
 """
 
 from __future__ import annotations
@@ -161,16 +162,20 @@ def search(corpus: DataFrame, is_query, k: int = K, fit_rows: int = 4096, id_col
     fine = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = (corpus.select(F.col(id_col).cast("long").alias("_id"), vec.alias("_vec"), is_query.alias("_query"))
             .filter(F.col("_id").isNotNull() & (F.size(vec) > 0) & fine & F.exists(vec, lambda v: v != 0)))
-    rows = cut_lineage(rows.dropDuplicates(["_id"]))
+    rows = cut_lineage(rows)
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).select("_vec").toArrow()["_vec"].to_pylist()
     spark = corpus.sparkSession
-    if not sample:
+    lengths = rows.groupBy(F.size("_vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if lengths is None:
+        return spark.createDataFrame([], schema)
+    dim = lengths["n"]
+    rows = cut_lineage(rows.filter(F.size("_vec") == dim).groupBy("_id").agg(
+        F.min("_vec").alias("_vec"), F.bool_or("_query").alias("_query")))
+    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).select("_vec").toArrow()["_vec"].to_pylist()
+    if len(sample) < 2:
         return spark.createDataFrame([], schema)
-    dim = len(sample[0])
-    rows = rows.filter(F.size("_vec") == dim)
     total, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda a, v: a + v * v)))).first()
-    coder = fit(np.array([v for v in sample if len(v) == dim]), float(norm), k, recall=recall)
+    coder = fit(np.array(sample), float(norm), k, recall=recall)
     shared = spark.sparkContext.broadcast(coder)
     n_queries = rows.filter("_query").count()
     shards, blocks = -(-total // SHARD_ROWS), max(1, -(-n_queries // QUERY_ROWS))
