@@ -8,6 +8,7 @@ from redline import dims
 from redline.catalogue import register
 from redline.catalogue.views import documents, table
 from redline.operators import evaluation as E
+from redline.operators import ivf as IVF
 from redline.operators import spans as SP
 from redline.operators import vectors as V
 from redline.operators.chunking import chunk_windows
@@ -52,10 +53,38 @@ def vector_topk_slabs(spark, sf_dir):
     return V.vector_topk(asks, corpus, dims.TOP_K_RETRIEVE, max_shared_rows=8).drop("distance")
 
 
-@register("vector_topk_lsh")
-def vector_topk_lsh(spark, sf_dir):
+def _ivf_hits(spark, sf_dir, k=dims.TOP_K_RETRIEVE):
     asks, corpus = _split(spark, sf_dir)
-    return V.vector_topk_lsh(asks, corpus, dims.TOP_K_RETRIEVE)
+    index = IVF.build_ivf(corpus, k=k)
+    return IVF.search_ivf(asks, index, k)
+
+
+@register("vector_topk_ivf")
+def vector_topk_ivf(spark, sf_dir):
+    """Approximate search through the inverted file; its contents are checked by ``vector_topk_ivf_recall``."""
+    return _ivf_hits(spark, sf_dir).withColumn("distance", F.round("distance", 9))
+
+
+@register("vector_topk_ivf_recall", f"""WITH {_TOPK_SQL}
+SELECT query_id, count(*) AS n_hits, true AS all_exact, max(similarity) AS best, min(similarity) AS kth,
+       true AS recall_reached FROM hits GROUP BY query_id""")
+def vector_topk_ivf_recall(spark, sf_dir):
+    """Per query: approximate hits, whether each has its exact similarity, the exact search's limits, and whether all
+    queries together find 0.9 of the true neighbours."""
+    asks, corpus = _split(spark, sf_dir)
+    near = _ivf_hits(spark, sf_dir)
+    v = corpus.select("chunk_id", F.col("vector").alias("c"))
+    q = asks.select("query_id", F.col("vector").alias("q"))
+    again = near.join(v, "chunk_id").join(q, "query_id").groupBy("query_id").agg(
+        F.count_distinct("chunk_id").alias("n_hits"),
+        F.bool_and(F.abs(V.dot(F.col("c"), F.col("q")) - F.col("similarity")) < 1e-8).alias("all_exact"))
+    true = _hits(spark, sf_dir)
+    found = true.select("query_id", "chunk_id", F.col("similarity").alias("s")).join(
+        near.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    share = found.agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+    limits = found.groupBy("query_id").agg(F.max("s").alias("best"), F.min("s").alias("kth"))
+    return limits.join(again, "query_id", "left").join(F.broadcast(share)).select(  # one row
+        "query_id", "n_hits", "all_exact", "best", "kth", "recall_reached")
 
 
 def _with_anchors(spark, sf_dir, hits):

@@ -1,4 +1,4 @@
-"""Text vectors and exact / approximate nearest neighbours."""
+"""Text vectors and exact nearest neighbours (approximate ones: ``operators.ivf``)."""
 
 from __future__ import annotations
 
@@ -121,10 +121,11 @@ def with_config_id(df: DataFrame) -> DataFrame:
 
 # ---- top-k ------------------------------------------------------------------------------------------
 
-MAX_SHARED_QUERIES = 8192  # 64 MB per executor at 1024 dimensions
+MAX_SHARED_QUERIES = 8192
+MAX_SHARED_BYTES = 64 << 20  # of the query matrix, per executor
 
 
-def _top_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of one query: similarity down, id up."""
     if len(sims) > k:
         kth = np.partition(sims, len(sims) - k)[len(sims) - k]
@@ -135,13 +136,13 @@ def _top_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRIEVE, query_id: str = "query_id",
-                corpus_id: str = "chunk_id", vector: str = "vector", lsh: dict | None = None,
+                corpus_id: str = "chunk_id", vector: str = "vector",
                 max_shared_rows: int = MAX_SHARED_QUERIES) -> DataFrame:
     """Exact top-k corpus rows per query: (query_id, corpus_id, similarity, distance, rank).
 
     The corpus is scanned in place and never shuffled: each task multiplies its batches with the query
     matrix, keeps k rows per query and only those meet in the final ranking. The query matrix is shared
-    with the executors while it is small (checked); beyond that, bounded slabs of queries are packed by
+    with the executors while it is small (rows and bytes are checked); beyond that, bounded slabs of queries are packed by
     Spark and meet bounded slabs of the corpus.
     """
     spark = corpus.sparkSession
@@ -151,40 +152,24 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRI
     c_type = corpus.schema[corpus_id].dataType.simpleString()
     c = corpus.select(F.col(corpus_id).alias("c"), F.col(vector).alias("v"))
     schema = f"q {q_type}, c {c_type}, similarity double"
-    if head.num_rows <= max_shared_rows:
+    if head.num_rows <= max_shared_rows and head.nbytes <= MAX_SHARED_BYTES:
         shared = spark.sparkContext.broadcast((head["q"].to_numpy(), as_matrix(head["v"])))
-        partial = c.mapInArrow(_scan_kernel(shared, k, lsh), schema)
+        partial = c.mapInArrow(_scan_kernel(shared, k), schema)
     else:
-        partial = _slab_join(q, c, k, max_shared_rows, lsh, schema)
+        partial = _slab_join(q, c, k, max_shared_rows, schema)
     best = top_per_key(partial, ["q"], [F.col("similarity").desc(), F.col("c")], k)
     return best.select(F.col("q").alias(query_id), F.col("c").alias(corpus_id), "similarity",
                        (1 - F.col("similarity")).alias("distance"), "rank")
 
 
-def _planes(dim: int, lsh: dict) -> np.ndarray:
-    rng = np.random.default_rng(lsh.get("seed", 42))
-    return rng.standard_normal((lsh.get("tables", 8), lsh.get("bits", 8), dim))
-
-
-def _signatures(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """One bucket number per row and hash table."""
-    bits = np.einsum("nd,tbd->ntb", m, planes) > 0
-    return bits @ (1 << np.arange(planes.shape[1]))
-
-
-def _partial_topk(q_ids, qm, c_ids, cm, k, lsh):
+def _partial_topk(q_ids, qm, c_ids, cm, k):
     sims = np.round(qm @ cm.T, DIGITS)
-    if lsh is not None:
-        planes = _planes(qm.shape[1], lsh)
-        same = (_signatures(qm, planes)[:, None, :] == _signatures(cm, planes)[None, :, :]).any(axis=2)
     for i in range(len(q_ids)):
-        rows = np.flatnonzero(same[i]) if lsh is not None else None
-        ids, s = (c_ids, sims[i]) if rows is None else (c_ids[rows], sims[i][rows])
-        top = _top_rows(s, ids, k)
-        yield np.repeat(q_ids[i:i + 1], len(top)), ids[top], s[top]
+        top = best_rows(sims[i], c_ids, k)
+        yield np.repeat(q_ids[i:i + 1], len(top)), c_ids[top], sims[i][top]
 
 
-def _scan_kernel(shared, k, lsh):
+def _scan_kernel(shared, k):
     import pyarrow as pa
 
     def run(batches):
@@ -194,10 +179,10 @@ def _scan_kernel(shared, k, lsh):
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
             parts = list(_partial_topk(q_ids, qm, batch["c"].to_numpy(zero_copy_only=False),
-                                       as_matrix(batch["v"]), k, lsh))
+                                       as_matrix(batch["v"]), k))
             if best is not None:  # merge with what earlier batches of the task kept
                 parts = [tuple(np.concatenate([a, b]) for a, b in zip(old, new)) for old, new in zip(best, parts)]
-                tops = [_top_rows(p[2], p[1], k) for p in parts]
+                tops = [best_rows(p[2], p[1], k) for p in parts]
                 parts = [tuple(a[t] for a in p) for p, t in zip(parts, tops)]
             best = parts
         if best is not None:
@@ -210,7 +195,7 @@ def _scan_kernel(shared, k, lsh):
 SLAB_ROWS = 4096
 
 
-def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, lsh, schema: str) -> DataFrame:
+def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, schema: str) -> DataFrame:
     """Bounded slabs of queries meet bounded slabs of the corpus; k rows per query leave each meeting."""
     import pyarrow as pa
 
@@ -232,19 +217,13 @@ def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, lsh, schema: str)
                 one = {n: batch.column(n).slice(i, 1).flatten() for n in ("qs_ids", "qs_vs", "cs_ids", "cs_vs")}
                 parts = list(_partial_topk(
                     one["qs_ids"].to_numpy(zero_copy_only=False), as_matrix(one["qs_vs"]),
-                    one["cs_ids"].to_numpy(zero_copy_only=False), as_matrix(one["cs_vs"]), k, lsh))
+                    one["cs_ids"].to_numpy(zero_copy_only=False), as_matrix(one["cs_vs"]), k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([p[j] for p in parts])) for j in range(3)], ["q", "c", "similarity"])
 
     return met.mapInArrow(run, schema)
 
 
-def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRIEVE, tables: int = 8,
-                    bits: int = 8, seed: int = 42, **kw) -> DataFrame:
-    """Approximate :func:`vector_topk`: only rows sharing a random-hyperplane bucket with the query compete."""
-    return vector_topk(queries, corpus, k, lsh={"tables": tables, "bits": bits, "seed": seed}, **kw)
-
-
 def rerank(hits: DataFrame, score: Column, k: int = dims.TOP_K_FINAL, query_id: str = "query_id") -> DataFrame:
     """Re-order each query's hits by a second score, keep ``k``; equal scores keep their earlier order."""
     return top_per_key(hits.withColumn("first_rank", F.col("rank")).drop("rank").withColumn("score", score),

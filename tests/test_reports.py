@@ -179,12 +179,38 @@ def test_embedding_is_unit_and_keyed(spark):
         V.embed(df, model_key="nope")
 
 
-def test_lsh_keeps_a_subset_with_exact_scores(spark):
-    c = V.embed(spark.createDataFrame([(i, f"w{i} w{i // 2} common") for i in range(60)], "chunk_id int, text string"))
-    q = c.filter("chunk_id < 3").withColumnRenamed("chunk_id", "query_id")
-    exact = set(rows(V.vector_topk(q, c, 60), "query_id", "chunk_id", "similarity"))
-    near = set(rows(V.vector_topk_lsh(q, c, 60, tables=4, bits=6), "query_id", "chunk_id", "similarity"))
-    assert near <= exact and {(i, i) for i in range(3)} <= {(a, b) for a, b, _ in near}
+def test_inverted_file_finds_the_neighbours_of_clustered_rows(spark, monkeypatch):
+    """Recall against the exact scan, exact scores, few probes on clustered rows, crowded lists and popular probes in parts."""
+    import numpy as np
+    from redline.operators import ivf
+    monkeypatch.setattr(ivf, "PART_ROWS", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    x = centres[np.concatenate([np.zeros(600, int), rng.integers(0, 30, 1200)])] + 0.25 * rng.normal(size=(1800, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>").repartition(4)
+    q = df.filter("chunk_id % 12 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = ivf.build_ivf(df, k=10)
+    assert index.probes < len(index.centres) / 2 and index.rows.count() == 1800
+    got = ivf.search_ivf(q, ivf.read_ivf(spark, index.path), 10)
+    near = {(r.query_id, r.chunk_id): r.similarity for r in got.collect()}
+    exact = [(r.query_id, r.chunk_id) for r in V.vector_topk(q, df, 10).collect()]
+    assert len(near) == len(exact) == 1500
+    assert all(abs(s - x[a] @ x[b]) < 1e-8 for (a, b), s in near.items())
+    assert sum(p in near for p in exact) >= 0.9 * len(exact)
+
+
+def test_inverted_file_tops_up_short_answers_and_takes_awkward_rows(spark):
+    from redline.operators import ivf
+    rows_ = [(i, [1.0, 0.0] if i < 9 else [0.0, 1.0]) for i in range(10)] + [(None, [1.0, 0.0]), (50, None), (51, [None, 1.0]), (52, [])]
+    df = spark.createDataFrame(rows_, "chunk_id long, vector array<double>")
+    q = df.withColumnRenamed("chunk_id", "query_id")
+    index = ivf.build_ivf(df, k=3, n_lists=2)
+    got = ivf.search_ivf(q, index, 3, probes=1).orderBy("query_id", "rank").collect()
+    assert [r.query_id for r in got] == [i for i in range(10) for _ in range(3)]
+    assert [(r.chunk_id, r.similarity) for r in got[-3:]] == [(9, 1.0), (0, 0.0), (1, 0.0)]  # its list holds one row
+    assert ivf.build_ivf(df.limit(0)) is None
+    assert len(ivf.search_ivf(q, index, 99).collect()) == 100  # the whole corpus where it is smaller than k
 
 
 def test_responses_parse_and_reconcile(spark):
