@@ -5,10 +5,11 @@ pair when both ends are still free. That sequential rule equals repeatedly takin
 each end is the other's best free partner, which is what both paths below do:
 
 * ordinary sections (size checked per section pair) run as one bounded numpy problem per section;
-* sections beyond the bound are matched by rounds of distributed work. Identical paragraphs are first
-  zipped by an equi-join on copy number and then handled as one group with a count, and similarities are
-  computed tile against tile, each tile emitting only the best partner per row. No list of all pairs is
-  ever materialised and no section has to fit in a task.
+* sections beyond the bound are matched by rounds of distributed work. Equal vectors are one group with a
+  count. Similarities are computed tile against tile, each tile emitting the ``LISTED`` best partners per
+  group; these lists are kept. A round joins lists only; a group is multiplied again only when its list ran
+  out while there are partners beyond it. No list of all pairs is ever materialised and no section has to
+  fit in a task.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from redline import dims
 from redline.operators.pairing import PAIR
 from redline.operators.ranking import BLOCK, rank_within, top_per_key
 from redline.operators.vectors import DIGITS, as_matrix, embed, embedder_factory, unit_rows
-from redline.session import cut_lineage
+from redline.session import cut_lineage, discard
 
 MAX_CELLS = 4_000_000   # old x new similarities of one section in one task (32 MB)
 MAX_SIDE = 20_000       # paragraphs of one side in one task
 TILE = 1024
+LISTED = 6              # partners kept per group of equal vectors between rounds
 
 
 def greedy_pairs(old: np.ndarray, new: np.ndarray, floor: float):
@@ -180,8 +183,11 @@ def align(old: DataFrame, new: DataFrame, floor: float = dims.SIMILARITY_FLOOR,
 # ---- sections too large for one task ------------------------------------------------------------------
 
 def _copies(side: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gid, idx, copy, vector): vectors equal to DIGITS digits share gid and are numbered in section order."""
-    gid = F.md5(F.array_join(F.transform("vector", lambda x: (F.round(x.cast("double"), DIGITS) + 0.0).cast("string")), ","))
+    """(keys, gid, idx, copy, vector): equal vectors share gid and are numbered in section order.
+
+    Only exact equality counts: vectors that differ at all may tie with one another, and then positions decide.
+    """
+    gid = F.md5(F.array_join(F.transform("vector", lambda x: (x.cast("double") + 0.0).cast("string")), ","))
     return rank_within(side.select(*keys, "idx", "vector", gid.alias("gid")), [*keys, "gid"], [F.col("idx")], "copy",
                        levels=[F.floor(F.col("idx") / BLOCK)])
 
@@ -239,72 +245,92 @@ def _run_tiles(meetings: DataFrame, keys: list[str], kernel, schema: T.StructTyp
     return meetings.select(*keys, *sides).mapInArrow(run, schema)
 
 
-def _best_kernel(floor: float):
-    """Best partner of every row of both tiles, plus the next partner when it ties."""
+def _list_kernel(floor: float, two_way: bool):
+    """The ``LISTED`` + 1 best partners of every old row (of every new row too): similarity down, position up."""
     def one_way(sims, heads, ids, partners):
-        out = []
         order = np.argsort(heads, kind="stable")
         s = sims[:, order]
-        here = np.arange(len(s))
-        first = s.argmax(axis=1)
-        value = s[here, first]
-        out.append((here, order[first], value))
-        if s.shape[1] > 1:
-            t = s.copy()
-            t[here, first] = -np.inf
-            second = t.argmax(axis=1)
-            tied = t[here, second] == value
-            out.append((here[tied], order[second[tied]], value[tied]))
-        i, j, v = (np.concatenate(p) for p in zip(*out))
-        ok = v >= floor
-        return ids[i[ok]], partners[j[ok]], heads[j[ok]], v[ok]
+        width = min(LISTED + 1, s.shape[1])
+        kth = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width] if width else np.zeros(len(s))
+        i, j = np.nonzero((s >= np.maximum(kth, floor)[:, None]))
+        v = s[i, j]
+        by = np.lexsort((j, -v, i))
+        i, j, v = i[by], j[by], v[by]
+        first = np.searchsorted(i, np.arange(len(s)))
+        keep = np.arange(len(i)) - first[i] < width
+        i, j, v = i[keep], order[j[keep]], v[keep]
+        return ids[i], partners[j], heads[j], v
 
     def kernel(og, oh, ov, ng, nh, nv):
         sims = np.round(ov @ nv.T, DIGITS)
-        a = one_way(sims, nh, og, ng)
-        b = one_way(sims.T, oh, ng, og)
-        return {"side": ["old"] * len(a[0]) + ["new"] * len(b[0]),
-                "gid": np.concatenate([a[0], b[0]]), "partner": np.concatenate([a[1], b[1]]),
-                "partner_head": np.concatenate([a[2], b[2]]).astype("int64"),
-                "similarity": np.concatenate([a[3], b[3]])}
+        parts = [("old", one_way(sims, nh, og, ng))]
+        if two_way:
+            parts.append(("new", one_way(sims.T, oh, ng, og)))
+        return {"side": [s for s, p in parts for _ in range(len(p[0]))],
+                **{name: np.concatenate([p[k] for _, p in parts])
+                   for k, name in enumerate(("gid", "partner", "partner_head", "similarity"))}}
 
     return kernel
 
 
-def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float, tile: int = TILE) -> DataFrame:
-    key_fields = [old.schema[k] for k in keys]
+def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float, tile: int = TILE,
+                 log: list | None = None) -> DataFrame:
+    """Matching by rounds; ``log`` receives the number of groups whose lists each round computed."""
     copies = {"old": cut_lineage(_copies(old, keys)), "new": cut_lineage(_copies(new, keys))}
-    groups = {s: _groups(c, keys) for s, c in copies.items()}
-
-    # identical paragraphs: the i-th old copy meets the i-th new copy
-    unit = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), DIGITS) == 1.0
-    shared = (groups["old"].filter(unit).select(*keys, "gid", F.col("n").alias("n_old"))
-              .join(groups["new"].select(*keys, "gid", F.col("n").alias("n_new")), [*keys, "gid"])
-              .select(*keys, "gid", F.least("n_old", "n_new").alias("k")))
-    runs = [shared.select(*keys, F.col("gid").alias("old_gid"), F.col("gid").alias("new_gid"),
-                          F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("old_from"),
-                          F.lit(0).cast("long").alias("new_from"), F.col("k").cast("long").alias("k"))
-            .filter(F.lit(1.0) >= floor)]
-    state = {s: cut_lineage(
-        g.join(shared, [*keys, "gid"], "left").withColumn("used", F.coalesce("k", F.lit(0)).cast("long"))
-        .filter(F.col("used") < F.col("n")).select(*keys, "gid", "vector", F.col("n").cast("long").alias("n"), "used"))
-        for s, g in groups.items()}
-
-    schema = T.StructType(key_fields + [
+    state = {s: cut_lineage(_groups(c, keys).withColumns({"n": F.col("n").cast("long"), "used": F.lit(0).cast("long")}))
+             for s, c in copies.items()}
+    owner = [*keys, "side", "gid"]
+    schema = T.StructType([old.schema[k] for k in keys] + [
         T.StructField("side", T.StringType()), T.StructField("gid", T.StringType()),
         T.StructField("partner", T.StringType()), T.StructField("partner_head", T.LongType()),
         T.StructField("similarity", T.DoubleType())])
+
+    def lists(rows: DataFrame, partners: DataFrame, two_way: bool) -> DataFrame:
+        """(owner, partner, partner_head, similarity, rank, cutoff); a list is complete above its cutoff."""
+        best = _run_tiles(_tile_meetings(rows, partners, keys, floor, tile), keys, _list_kernel(floor, two_way), schema)
+        top = top_per_key(best, owner, [F.col("similarity").desc(), F.col("partner_head")], LISTED + 1)
+        cutoff = F.max(F.when(F.col("rank") == LISTED + 1, F.col("similarity"))).over(W.partitionBy(*owner))
+        return top.withColumn("cutoff", cutoff).filter(F.col("rank") <= LISTED)
+
+    def other(side: Column) -> Column:
+        return F.when(side == "old", "new").otherwise("old")
+
+    known, runs, done = None, [], []  # known: the lists kept; done: tables no longer needed
     while True:
-        headed = {s: state[s].join(copies[s].select(*keys, "gid", F.col("copy").alias("used"), F.col("idx").alias("head")),
-                                   [*keys, "gid", "used"]) for s in state}
-        best = _run_tiles(_tile_meetings(headed["old"], headed["new"], keys, floor, tile), keys,
-                          _best_kernel(floor), schema)
-        top = cut_lineage(top_per_key(best, [*keys, "side", "gid"],
-                                      [F.col("similarity").desc(), F.col("partner_head")], 2))
+        headed = {s: cut_lineage(state[s].join(
+            copies[s].select(*keys, "gid", F.col("copy").alias("used"), F.col("idx").alias("head")), [*keys, "gid", "used"]))
+            for s in state}
+        free = headed["old"].select(*keys, F.lit("old").alias("side"), "gid", "head").unionByName(
+            headed["new"].select(*keys, F.lit("new").alias("side"), "gid", "head"))
+        if known is None:
+            fresh = cut_lineage(lists(headed["old"], headed["new"], True))
+            current = fresh
+            if log is not None:
+                log.append(free.count())
+        else:
+            partner = free.select(*keys, other(F.col("side")).alias("side"), F.col("gid").alias("partner"),
+                                  F.col("head").alias("partner_head"))
+            kept = cut_lineage(known.join(free.select(*owner), owner).join(partner, [*keys, "side", "partner"], "left"))
+            usable = kept.filter(F.col("partner_head").isNotNull()
+                                 & (F.col("cutoff").isNull() | (F.col("similarity") > F.col("cutoff"))))
+            stale = cut_lineage(kept.filter("cutoff is not null").select(*owner).distinct()
+                                .join(usable.select(*owner), owner, "left_anti"))
+            done += [known, kept, stale]
+            if log is not None:
+                log.append(stale.count())
+            again = None
+            for side in ("old", "new"):
+                rows = headed[side].join(stale.filter(F.col("side") == side).drop("side"), [*keys, "gid"], "left_semi")
+                got = lists(rows, headed["new" if side == "old" else "old"], False).withColumn("side", F.lit(side))
+                again = got if again is None else again.unionByName(got)
+            columns = [*owner, "partner", "partner_head", "similarity", "cutoff"]
+            current = cut_lineage(usable.select(*columns).unionByName(again.select(*columns)))
+        ranked = top_per_key(current.drop("rank"), owner, [F.col("similarity").desc(), F.col("partner_head")], 2)
+        top = cut_lineage(ranked)
         first = top.filter("rank = 1")
-        tie = top.filter("rank = 2").select(*keys, "side", "gid", F.col("similarity").alias("tie_sim"),
+        tie = top.filter("rank = 2").select(*owner, F.col("similarity").alias("tie_sim"),
                                             F.col("partner_head").alias("tie_head"))
-        first = first.join(tie, [*keys, "side", "gid"], "left").withColumn(
+        first = first.join(tie, owner, "left").withColumn(
             "tie_head", F.when(F.col("tie_sim") == F.col("similarity"), F.col("tie_head")))
         o = first.filter("side = 'old'").select(*keys, F.col("gid").alias("old_gid"), F.col("partner").alias("new_gid"),
                                                 "similarity", F.col("tie_head").alias("new_stop"))
@@ -326,13 +352,19 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
                 .otherwise(F.col(f"{side}_ahead") - F.col(f"{side}_from")))
         taken = cut_lineage(mutual.select(*keys, "old_gid", "new_gid", "similarity", "old_from", "new_from",
                                           F.least("old_room", "new_room").cast("long").alias("k")))
+        runs.append(taken)
+        done += [*headed.values(), top]
         if taken.isEmpty():
+            discard(*done, *state.values(), current)
             break
-        runs.append(taken)
+        before = state
         state = {s: cut_lineage(
             state[s].join(taken.select(*keys, F.col(f"{s}_gid").alias("gid"), "k"), [*keys, "gid"], "left")
             .withColumn("used", F.col("used") + F.coalesce("k", F.lit(0))).drop("k")
             .filter(F.col("used") < F.col("n"))) for s in state}
+        discard(*done, *before.values())
+        known, done = current.select(*owner, "partner", "similarity", "cutoff"), []
+        known.redline_path = current.redline_path
 
     all_runs = runs[0]
     for r in runs[1:]:

@@ -73,7 +73,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/redline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.redline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut_lineage`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "redline_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

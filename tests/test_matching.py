@@ -108,3 +108,33 @@ def test_registered_model_is_prefixed_and_normalised_on_both_paths(spark):
     register_embedder("e5-test", make)
     old, new = ["aab", "b c d"], ["aab c", "d d d d d"]
     assert _text_matches(spark, "e5-test", old, new) == _text_matches(spark, "e5-test", old, new, max_cells=0)
+
+
+def _near_parallel(seed, n):
+    """Vectors 1e-7 to 1e-3 apart around few directions: many similarities that tie only after rounding."""
+    rng = np.random.default_rng(seed)
+    base = unit(rng.normal(size=(4, 3)))
+    return unit(base[rng.integers(0, 4, n)] + rng.normal(size=(n, 3)) * 10.0 ** rng.integers(-7, -2, (n, 1)))
+
+
+def test_near_parallel_vectors_match_alike_on_both_paths(spark):
+    old, new = {"a": _near_parallel(1, 16), "b": _near_parallel(2, 6)}, {"a": _near_parallel(3, 12), "b": _near_parallel(4, 9)}
+    for e in (1e-6, 1e-5, 1e-4):  # the smaller position wins although the other vector is the very same
+        old[f"e{e}"] = np.array([[1.0, 0, 0]])
+        new[f"e{e}"] = np.array([[np.sqrt(1 - e * e), e, 0], [1.0, 0, 0]])
+    sides = side(spark, old), side(spark, new)
+    for limits in ({}, {"max_cells": 100, "tile": 4}):
+        got = M.align(*sides, 0.5, KEYS, **limits).filter("kind = 'matched'").collect()
+        for k in old:
+            assert {(r.old_idx, r.new_idx, r.similarity) for r in got if r.sec == k} == greedy(old[k], new[k], 0.5), (k, limits)
+
+
+def test_rounds_compute_fewer_and_fewer_lists(spark):
+    """One crowded direction, so that lists run out: they are renewed for the groups concerned only."""
+    rng = np.random.default_rng(8)
+    old, new = ({"a": unit(np.array([1.0, 0, 0]) + 0.2 * rng.normal(size=(n, 3)))} for n in (40, 30))
+    log = []
+    got = M._match_large(side(spark, old), side(spark, new), KEYS, 0.5, 16, log)
+    assert {(r.old_idx, r.new_idx, r.similarity) for r in got.filter("kind = 'matched'").collect()} == greedy(
+        old["a"], new["a"], 0.5)
+    assert log[0] == 70 and max(log[1:]) < 30 and len(log) > 2
