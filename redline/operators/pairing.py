@@ -49,6 +49,17 @@ def paragraph_counts(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n"
             .groupBy(*SECTION, order, "chunk_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
 
+def _numbered(docs: DataFrame, order: str, pieces, counts: DataFrame) -> DataFrame:
+    """(section, order, idx, piece): ``pieces`` of every chunk, an array column, with their places in the section."""
+    twice = F.raise_error(F.concat_ws(" ", F.lit("chunk stored twice:"), *SECTION, F.col(order).cast("string")))
+    bases = prefix_sums(counts, SECTION, order, "n", ties=["chunk_key"]).select(
+        *SECTION, order, "chunk_key", F.when(F.col("copies") > 1, twice).otherwise(F.col("base")).alias("base"))
+    chunks = with_known_anchor(docs).select(*SECTION, order, pieces.alias("pieces"), F.xxhash64("text").alias("chunk_key"))
+    return (chunks.join(bases, [*SECTION, order, "chunk_key"])
+            .select(*SECTION, order, "base", F.posexplode("pieces").alias("pos", "piece"))
+            .select(*SECTION, (F.col("base") + F.col("pos")).alias("idx"), order, "piece"))
+
+
 def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n",
                        counts: DataFrame | None = None) -> DataFrame:
     """Paragraphs of every section, numbered from 0 in section order.
@@ -59,13 +70,17 @@ def explode_paragraphs(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\
     taken in the order of their text's hash; a chunk stored twice (same section, number and text) is an error.
     """
     counts = paragraph_counts(docs, order, sep) if counts is None else counts
-    twice = F.raise_error(F.concat_ws(" ", F.lit("chunk stored twice:"), *SECTION, F.col(order).cast("string")))
-    bases = prefix_sums(counts, SECTION, order, "n", ties=["chunk_key"]).select(
-        *SECTION, order, "chunk_key", F.when(F.col("copies") > 1, twice).otherwise(F.col("base")).alias("base"))
-    return (with_known_anchor(docs).select(*SECTION, order, "text", F.xxhash64("text").alias("chunk_key"))
-            .join(bases, [*SECTION, order, "chunk_key"])
-            .select(*SECTION, order, "base", F.posexplode(paragraphs(F.col("text"), sep)).alias("pos", "text"))
-            .select(*SECTION, (F.col("base") + F.col("pos")).alias("idx"), order, "text"))
+    return _numbered(docs, order, paragraphs(F.col("text"), sep), counts).withColumnRenamed("piece", "text")
+
+
+def paragraph_marks(docs: DataFrame, mark, order: str = "chunk_no", sep: str = "\n\n",
+                    counts: DataFrame | None = None) -> DataFrame:
+    """:func:`explode_paragraphs` with ``text_hash`` (``mark`` of the text) and ``chars`` in place of the text, which stays
+    where it was read."""
+    counts = paragraph_counts(docs, order, sep) if counts is None else counts
+    marks = F.transform(paragraphs(F.col("text"), sep), lambda p: F.struct(mark(p).alias("text_hash"),
+                                                                          F.length(p).alias("chars")))
+    return _numbered(docs, order, marks, counts).select(*SECTION, "idx", order, "piece.*")
 
 
 def pair_side_sizes(counts: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from redline import dims
+from redline.functions.text import paragraphs
 from redline.operators import changes, matching
-from redline.operators.pairing import (explode_paragraphs, pair_side_sizes, paired_sides, paragraph_counts,
-                                       year_pairs)
+from redline.operators.pairing import (PAIR, SECTION, explode_paragraphs, pair_side_sizes, paired_sides, paragraph_counts,
+                                       paragraph_marks, year_pairs)
+from redline.operators.vector_store import VectorStore, text_hash
 from redline.session import cut_lineage
 
 
@@ -27,6 +30,28 @@ def align_corpus(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n", mo
     return matching.align_sides(sides, floor, model_key=model_key, large=large), large is None
 
 
+def align_stored(docs: DataFrame, store: VectorStore, order: str = "chunk_no", sep: str = "\n\n",
+                 floor: float = dims.SIMILARITY_FLOOR, pairs: DataFrame | None = None,
+                 limits: dict | None = None) -> DataFrame:
+    """Alignment rows with the lengths of both texts (``old_chars``, ``new_chars``; 0 for the absent side), without texts.
+
+    The store is extended by the paragraphs it lacks; after that, paragraphs travel as hashes, lengths and vectors.
+    """
+    counts = cut_lineage(paragraph_counts(docs, order, sep))
+    pairs = year_pairs(counts) if pairs is None else pairs
+    large = matching.large_sections(pair_side_sizes(counts, pairs), **(limits or {}))
+    store.extend(docs.select(F.explode(paragraphs(F.col("text"), sep)).alias("text")))
+    marks = cut_lineage(paragraph_marks(docs, text_hash, order, sep, counts))
+    sides = paired_sides(store.attach(marks).select(*SECTION, "idx", "vector"), pairs)
+    aligned = matching.align_sides(sides, floor, large=large)
+    chars = paired_sides(marks.select(*SECTION, "idx", "chars"), pairs)
+    for side in ("old", "new"):
+        own = chars.filter(F.col("side") == side).select(*PAIR, F.col("idx").alias(f"{side}_idx"),
+                                                         F.col("chars").alias(f"{side}_chars"))
+        aligned = aligned.join(own, [*PAIR, f"{side}_idx"], "left").na.fill(0, [f"{side}_chars"])
+    return aligned
+
+
 def diff_corpus(docs: DataFrame, order: str = "chunk_no", sep: str = "\n\n", model_key: str = "hashed",
                 floor: float = dims.SIMILARITY_FLOOR, signal: DataFrame | None = None, pairs: DataFrame | None = None,
                 with_words: bool = True, limits: dict | None = None, **thresholds) -> DataFrame:
