@@ -1,5 +1,5 @@
-"""Corpus pipeline: toxic documents out, repeated lines out, one document of each near-duplicate group kept, sources mixed
-to target weights, the rest encoded.
+"""Corpus pipeline: toxic documents out, repeated lines out (and documents that held nothing else), one document of each
+near-duplicate group kept, sources mixed to target weights, the rest encoded.
 
 ``STAGES`` lists the stages; each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.llm import line_dedup, mixing, near_dup, pieces, toxicity
-from redline.llm.common import table
+from redline.llm.common import free_name, table
 from redline.session import checkpoint_dir
 
 
@@ -23,6 +23,11 @@ NEAR = 80
 NEAR_BANDS, NEAR_ROWS = 38, 5
 
 
+def has_word(text: str) -> Column:
+    """Whether a text holds anything but blanks; false for null."""
+    return F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -34,8 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line of at least 10 characters stays only in the first document that holds it; n_chars follows the text."""
-    return _with_length(line_dedup.dedup_lines(docs).select(*docs.columns))
+    """Every line of at least 10 characters stays only in the first document that holds it; n_chars follows the text.
+
+    A document that loses every line with a word goes: all it said stands elsewhere. Documents without words stay.
+    """
+    mark = free_name(docs, "_said")
+    held = line_dedup.dedup_lines(docs.withColumn(mark, has_word("text")))
+    emptied = F.col(mark) & ~has_word("text")
+    return _with_length(held.filter(~emptied).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
