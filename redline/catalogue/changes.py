@@ -332,3 +332,40 @@ def classify_similarity(spark, sf_dir):
     return greedy_match(spark, sf_dir).filter("kind = 'matched'").select(
         "label", "old_idx", "new_idx", "similarity",
         C.classify_similarity(F.col("similarity"), VEC_UNCHANGED, VEC_MINOR, VEC_MAJOR).alias("classification"))
+
+
+# ---- ordered token difference: sizes of a shortest edit script, by furthest-reaching paths in SQL -----------------------
+
+@register("word_delta_sizes", f"""WITH RECURSIVE {_TEXT_ALIGN_SQL},
+m AS MATERIALIZED (
+  SELECT row_number() OVER () AS p, * FROM (
+    SELECT ticker, y_old, y_new, anchor, old_idx,
+           regexp_extract_all(old_text, '[\\pL\\pM\\pN\\p{{Pc}}]+|[^\\pL\\pM\\pN\\p{{Pc}}\\s]+') AS o,
+           regexp_extract_all(new_text, '[\\pL\\pM\\pN\\p{{Pc}}]+|[^\\pL\\pM\\pN\\p{{Pc}}\\s]+') AS n
+    FROM aligned WHERE kind = 'matched' AND old_text <> new_text)),
+equal AS (
+  SELECT a.p, a.x - b.y AS k, a.x FROM (SELECT p, unnest(o) AS t, generate_subscripts(o, 1) - 1 AS x FROM m) a
+  JOIN (SELECT p, unnest(n) AS t, generate_subscripts(n, 1) - 1 AS y FROM m) b ON a.p = b.p AND a.t = b.t),
+snake AS MATERIALIZED (
+  SELECT p, k, x, max(x) OVER (PARTITION BY p, k, island) + 1 AS stop FROM (
+    SELECT *, x - row_number() OVER (PARTITION BY p, k ORDER BY x) AS island FROM equal)),
+path AS (
+  SELECT m.p, 0 AS d, 0 AS k, coalesce(s.stop, 0) AS x, len(o) AS n_o, len(n) AS n_n,
+         coalesce(s.stop, 0) = len(o) AND len(o) = len(n) AS done
+  FROM m LEFT JOIN snake s ON s.p = m.p AND s.k = 0 AND s.x = 0
+  UNION ALL
+  SELECT f.p, f.d, f.k, coalesce(s.stop, f.x), f.n_o, f.n_n,
+         coalesce(bool_or(coalesce(s.stop, f.x) = f.n_o AND f.k = f.n_o - f.n_n) OVER (PARTITION BY f.p), false)
+  FROM (SELECT p, d + 1 AS d, k + dk AS k, max(x + dx) AS x, n_o, n_n
+        FROM path, (VALUES (1, 1), (-1, 0)) step(dk, dx)
+        WHERE NOT done AND x + dx <= n_o AND x + dx - k - dk <= n_n GROUP BY p, d, k + dk, n_o, n_n) f
+  LEFT JOIN snake s ON s.p = f.p AND s.k = f.k AND s.x = f.x),
+script AS (SELECT p, max(d) AS d FROM path GROUP BY p)
+SELECT ticker, y_old, y_new, anchor, old_idx, (d + len(n) - len(o)) // 2 AS n_added, (d - len(n) + len(o)) // 2 AS n_removed
+FROM m JOIN script USING (p)""")
+def word_delta_sizes(spark, sf_dir):
+    """Tokens that the shortest edit script of every matched pair adds and removes, over whole texts."""
+    rows = _aligned(spark, sf_dir).filter("kind = 'matched' AND old_text <> new_text")
+    return C.word_delta(rows).select("ticker", "y_old", "y_new", "anchor", "old_idx",
+                                     F.size("word_delta.added").cast("long").alias("n_added"),
+                                     F.size("word_delta.removed").cast("long").alias("n_removed"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from redline import dims
 from redline.functions.numbers import extract_numbers, move_signal
 from redline.operators.once import compute_once
+from redline.operators.edit_script import common_parts
 from redline.operators.pairing import PAIR
 from redline.operators.ranking import BLOCK, rank_within
 
@@ -102,47 +102,11 @@ def _padded(seq: Column) -> Column:
     return F.format_string("%03d", seq)
 
 
-def _longest_common(a: np.ndarray, b: np.ndarray, keep_a: np.ndarray, keep_b: np.ndarray) -> None:
-    """Mark the members of one longest common subsequence of two code arrays, in memory linear in their length.
-
-    Common ends are marked first; the rest is halved where the scores of both halves of ``a`` against a split of
-    ``b`` add up highest, at the first such split.
-    """
-    short = min(len(a), len(b))
-    differ = np.flatnonzero(a[:short] != b[:short])
-    head = int(differ[0]) if len(differ) else short
-    differ = np.flatnonzero(a[head:][::-1][:short - head] != b[head:][::-1][:short - head])
-    tail = int(differ[0]) if len(differ) else short - head
-    for mask in (keep_a, keep_b):
-        mask[:head] = True
-        mask[len(mask) - tail:] = True
-    a, keep_a = a[head:len(a) - tail], keep_a[head:len(keep_a) - tail]
-    b, keep_b = b[head:len(b) - tail], keep_b[head:len(keep_b) - tail]
-    if not len(a) or not len(b):
-        return
-    if len(a) == 1:
-        at = np.flatnonzero(b == a[0])
-        if len(at):
-            keep_a[0] = keep_b[at[0]] = True
-        return
-
-    def scores(x, y):
-        row = np.zeros(len(y) + 1, np.int32)
-        for code in x:
-            row[1:] = np.maximum.accumulate(np.where(y == code, row[:-1] + 1, row[1:]))
-        return row
-
-    half = len(a) // 2
-    split = int(np.argmax(scores(a[:half], b) + scores(a[half:][::-1], b[::-1])[::-1]))
-    _longest_common(a[:half], b[:split], keep_a[:half], keep_b[:split])
-    _longest_common(a[half:], b[split:], keep_a[half:], keep_b[split:])
-
-
 def word_delta(records: DataFrame, out: str = "word_delta") -> DataFrame:
     """Append the tokens a change adds and removes: those outside one longest common subsequence, in text order.
 
     Tokens are cut, and one-sided and identical texts answered, by expressions; only modified pairs reach the token
-    differ, all other rows pass it as nulls. Its time grows with the product of the differing middles' lengths.
+    differ (``edit_script``, which also fixes the order of ties), all other rows pass it as nulls.
     """
     @F.pandas_udf("added array<string>, removed array<string>")
     def diff_tokens(old: pd.Series, new: pd.Series) -> pd.DataFrame:
@@ -152,9 +116,8 @@ def word_delta(records: DataFrame, out: str = "word_delta") -> DataFrame:
                 rows.append((None, None))
                 continue
             codes = pd.factorize(np.concatenate([o, n]))[0]
-            keep = np.zeros(len(codes), bool)
-            _longest_common(codes[:len(o)], codes[len(o):], keep[:len(o)], keep[len(o):])
-            rows.append((n[~keep[len(o):]], o[~keep[:len(o)]]))
+            keep_o, keep_n = common_parts(codes[:len(o)], codes[len(o):])
+            rows.append((n[~keep_n], o[~keep_o]))
         return pd.DataFrame(rows, columns=["added", "removed"])
 
     empty = F.array().cast("array<string>")
@@ -175,11 +138,18 @@ def word_delta_multiset(pairs: DataFrame, keys: list[str], old: str = "old_text"
     """
     @F.pandas_udf("array<struct<token:string,net:bigint>>")
     def net_counts(old_tokens: pd.Series, new_tokens: pd.Series) -> pd.Series:
-        def net(o, n):
-            counts = Counter(() if n is None else n)
-            counts.subtract(() if o is None else o)
-            return [{"token": t, "net": c} for t, c in counts.items() if c]
-        return pd.Series([net(o, n) for o, n in zip(old_tokens, new_tokens)])
+        empty = np.empty(0, object)
+        sides = [[empty if t is None else t for t in side] for side in (old_tokens, new_tokens)]
+        sizes = np.array([len(t) for side in sides for t in side])
+        codes, names = pd.factorize(np.concatenate([*sides[0], *sides[1], empty]))
+        row = np.repeat(np.tile(np.arange(len(old_tokens)), 2), sizes)
+        sign = np.repeat([-1, 1], [sizes[:len(old_tokens)].sum(), sizes[len(old_tokens):].sum()])
+        cell, at = np.unique(row * max(1, len(names)) + codes, return_inverse=True)
+        net = np.bincount(at, weights=sign, minlength=len(cell)).astype(np.int64)
+        out: list[list] = [[] for _ in range(len(old_tokens))]
+        for c, n in zip(cell[net != 0].tolist(), net[net != 0].tolist()):
+            out[c // len(names)].append({"token": names[c % len(names)], "net": n})
+        return pd.Series(out)
 
     tokens = [F.regexp_extract_all(F.col(c), F.lit(token), F.lit(0)) for c in (old, new)]
     net = pairs.select(*keys, F.explode(net_counts(*tokens)).alias("t")).select(*keys, "t.token", "t.net")

@@ -97,21 +97,22 @@ def _pack(pieces, sep: str, limit: int, target: int | None = None):
         yield sep.join(held)
 
 
+def _prose_chunks(text: str, target: int, limit: int) -> list[str]:
+    chunks = []
+    for run in _pack([p.strip() for p in text.split("\n\n") if p.strip()], "\n\n", limit, target):
+        if len(run) <= limit:
+            chunks.append(run)
+            continue
+        for packed in _pack([ln.strip() for ln in run.split("\n") if ln.strip()], "\n", limit):
+            chunks.extend([packed] if len(packed) <= limit else _cut_line(packed, limit))
+    return chunks
+
+
 def split_prose(text: Column, target: int = dims.TARGET_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS) -> Column:
     """``ARRAY<STRING>`` of prose chunks: whole paragraphs, else whole lines, else cuts inside a line."""
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts.fillna(""):
-            chunks = []
-            for run_ in _pack([p.strip() for p in t.split("\n\n") if p.strip()], "\n\n", limit, target):
-                if len(run_) <= limit:
-                    chunks.append(run_)
-                    continue
-                for packed in _pack([ln.strip() for ln in run_.split("\n") if ln.strip()], "\n", limit):
-                    chunks.extend([packed] if len(packed) <= limit else _cut_line(packed, limit))
-            out.append(chunks)
-        return pd.Series(out)
+        return pd.Series([_prose_chunks(t, target, limit) for t in texts.fillna("")])
 
     return run(text)
 
@@ -119,60 +120,119 @@ def split_prose(text: Column, target: int = dims.TARGET_CHUNK_CHARS, limit: int
 CHUNK_TYPE = "array<struct<anchor:string,item:string,type:string,table_scale:double,text:string>>"
 
 
+def _joins(prev: tuple, new: tuple, min_chars: int, limit: int) -> bool:
+    """Whether a chunk (anchor, item, type, table_scale, text) is short prose that fits behind the prose chunk before it."""
+    return (prev[2] == new[2] == "prose" and len(new[4]) < min_chars and prev[0] == new[0]
+            and len(prev[4]) + 2 + len(new[4]) <= limit)
+
+
 def merge_small(chunks: Column, min_chars: int = dims.MIN_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS) -> Column:
-    """Fold short prose chunks of a document into the prose chunk before them, same anchor, within the limit."""
-    def fold(done, c):
-        prev = F.element_at(done, -1)
-        fits = ((F.size(done) > 0) & (c["type"] == "prose") & (F.length(c["text"]) < min_chars)
-                & (prev["type"] == "prose") & prev["anchor"].eqNullSafe(c["anchor"])
-                & (F.length(prev["text"]) + 2 + F.length(c["text"]) <= limit))
-        joined = F.struct(prev["anchor"].alias("anchor"), prev["item"].alias("item"), prev["type"].alias("type"),
-                          prev["table_scale"].alias("table_scale"),
-                          F.concat(prev["text"], F.lit("\n\n"), c["text"]).alias("text"))
-        kept = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(kept, F.array(joined))).otherwise(
-            F.concat(done, F.array(c)))
-
-    return F.aggregate(chunks, F.array().cast(CHUNK_TYPE), fold)
+    """Short prose chunks of a document joined to the prose chunk before them, same anchor, within the limit; one pass."""
+    names = ["anchor", "item", "type", "table_scale", "text"]
+
+    @F.pandas_udf(CHUNK_TYPE)
+    def run(documents: pd.Series) -> pd.Series:
+        out = []
+        for document in documents:
+            kept: list[tuple] = []
+            for c in (tuple(c[n] for n in names) for c in document):
+                if kept and _joins(kept[-1], c, min_chars, limit):
+                    kept[-1] = (*kept[-1][:4], kept[-1][4] + "\n\n" + c[4])
+                else:
+                    kept.append(c)
+            out.append([dict(zip(names, c, strict=True)) for c in kept])
+        return pd.Series(out)
+
+    return run(chunks)
+
+
+def _chunk_folder(keys: list[str], required: list[str], target: int, limit: int, min_chars: int):
+    """Table function body: the lines of one document in order go in, its chunks come out.
+
+    It holds the prose since the last table or heading and the chunk before, nothing else of the document. A short prose chunk
+    joins the prose chunk before it (same anchor, within the limit). The document's last chunk carries ``missing``, the
+    required anchors that no chunk of it has.
+    """
+    class Fold:
+        def __init__(self):
+            self.key = self.block = self.held = None
+            self.lines: list[str] = []
+            self.no = self.at = 0
+            self.anchors: set = set()
+
+        def chunks(self):
+            if self.lines:
+                anchor, item = self.block[1:]
+                for text in _prose_chunks("\n".join(self.lines), target, limit):
+                    yield anchor, item, "prose", None, text
+                self.lines = []
+
+        def emit(self, new):
+            for chunk in new:
+                if self.held and _joins(self.held, chunk, min_chars, limit):
+                    self.held = (*self.held[:4], self.held[4] + "\n\n" + chunk[4])
+                    continue
+                if self.held:
+                    yield self.row(self.held, None)
+                self.held = chunk
+
+        def row(self, chunk, missing):
+            anchor, item, kind, scale, text = chunk
+            self.anchors.add(anchor)
+            out = (*self.key, self.no, anchor, item, kind, scale, text, self.at, self.at + len(text), missing)
+            self.no, self.at = self.no + 1, self.at + len(text)
+            return out
+
+        def eval(self, row):
+            if self.key is None:
+                self.key = tuple(row[k] for k in keys)
+            if row["kind"] == "table":
+                yield from self.emit(self.chunks())
+                yield from self.emit([(row["table_anchor"], row["item"], "table", row["table_scale"], row["table_text"])])
+                self.block = None
+            else:
+                block = row["run"], row["item_anchor"], row["item"]
+                if self.block is not None and block[0] != self.block[0]:
+                    yield from self.emit(self.chunks())
+                if not self.lines:
+                    self.block = block
+                self.lines.append(row["line"])
+
+        def terminate(self):
+            if self.key is not None:
+                yield from self.emit(self.chunks())
+                if self.held:
+                    self.anchors.add(self.held[0])
+                    yield self.row(self.held, [a for a in required if a not in self.anchors])
+
+    return Fold
 
 
 def chunk_sectionaware(pages: DataFrame, keys: list[str], html: str = "html", required: list[str] | None = None,
                        target: int = dims.TARGET_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS,
-                       min_chars: int = dims.MIN_CHUNK_CHARS) -> DataFrame:
+                       min_chars: int = dims.MIN_CHUNK_CHARS, keep_missing: bool = False) -> DataFrame:
     """Section-aware chunks of every document, in order, with spans in the rebuilt text.
 
-    Prose between two tables or headings is packed together; tables stay whole. ``required`` anchors (pass
-    an empty list for none) are checked and their absence raises. All steps after extraction share one
-    shuffle by document.
+    Prose between two tables or headings is packed together; tables stay whole. Pages are parsed once and their lines
+    shuffled once, by document; a table function then packs, merges, numbers and checks in one pass over the ordered lines.
+    ``required`` anchors (pass an empty list for none): a document that lacks one makes the evaluation fail, or, with
+    ``keep_missing``, has them in ``missing`` of its last chunk.
     """
     segments = X.extract_segments(pages, keys, html)
-    rows = X.with_table_context(X.sectionize(X.segment_lines(segments, keys), keys), keys)
-    w = W.partitionBy(*keys).orderBy("seg_no", "line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_block", F.sum(F.when(F.col("kind") == "table", 1).otherwise(0)).over(w))
-    tables = X.table_chunks(rows, keys).select(
-        *keys, F.col("seg_no").alias("_seg"), F.col("line_no").alias("_line"), F.lit(0).alias("_part"), "anchor", "item",
-        "type", "table_scale", "text")
-    line = F.struct("seg_no", "line_no", "line")
-    prose = (rows.filter("kind = 'prose'").groupBy(*keys, "run", "_block")
-             .agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("item").alias("item"),
-                  F.first("item_anchor").alias("anchor"))
-             .select(*keys, F.col("lines")[0]["seg_no"].alias("_seg"), F.col("lines")[0]["line_no"].alias("_line"),
-                     "item", "anchor", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-             .select(*keys, "_seg", "_line", "item", "anchor",
-                     F.posexplode(split_prose(F.col("text"), target, limit)).alias("_part", "text"))
-             .select(*keys, "_seg", "_line", "_part", "anchor", "item", F.lit("prose").alias("type"),
-                     F.lit(None).cast("double").alias("table_scale"), "text"))
-    ordered = F.array_sort(F.collect_list(F.struct("_seg", "_line", "_part", F.struct(
-        "anchor", "item", "type", "table_scale", "text").alias("c"))))
-    whole = prose.unionByName(tables).groupBy(*keys).agg(ordered.alias("cs")).select(
-        *keys, F.transform("cs", lambda x: x["c"]).cast(CHUNK_TYPE).alias("cs"))
-    merged = (whole.select(*keys, F.posexplode(merge_small(F.col("cs"), min_chars, limit)).alias("chunk_no", "c"))
-              .select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"), "c.*"))
-    doc = W.partitionBy(*keys).orderBy("chunk_no")
-    out = (merged.withColumn("span_end", F.sum(F.length("text")).over(doc).cast("long"))
-           .withColumn("span_start", F.col("span_end") - F.length("text")))
+    rows = X.with_table_chunk(X.with_table_context(X.sectionize(X.segment_lines(segments, keys), keys), keys))
+    lines = rows.select(*keys, "seg_no", "line_no", "kind", "run", "item", "item_anchor", "table_scale", "table_anchor",
+                        "table_text", F.when(F.col("kind") == "prose", F.col("line")).alias("line"))
     required = dims.REQUIRED_ANCHORS if required is None else required
-    return X.assert_anchor_coverage(out, keys, required) if required else out
+    schema = T.StructType([pages.schema[k] for k in keys] + [
+        T.StructField("chunk_no", T.LongType()), T.StructField("anchor", T.StringType()), T.StructField("item", T.StringType()),
+        T.StructField("type", T.StringType()), T.StructField("table_scale", T.DoubleType()),
+        T.StructField("text", T.StringType()), T.StructField("span_start", T.LongType()),
+        T.StructField("span_end", T.LongType()), T.StructField("missing", T.ArrayType(T.StringType()))])
+    fold = F.udtf(_chunk_folder(keys, required, target, limit, min_chars), returnType=schema)
+    out = fold(lines.asTable().partitionBy(*keys).orderBy("seg_no", "line_no"))
+    if keep_missing:
+        return out
+    return X.refuse_missing(out, keys) if required else out.drop("missing")
 
 
 def with_chunk_ids(chunks: DataFrame, strategy: str) -> DataFrame:

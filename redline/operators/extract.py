@@ -106,17 +106,25 @@ def with_table_context(rows: DataFrame, keys: list[str]) -> DataFrame:
             .drop("_s", "_i", "_scale", "_start"))
 
 
-def table_chunks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Atomic table chunks: context prefix without repetition, statement anchor, scale."""
-    t = rows.filter("kind = 'table'").withColumn("_norm", F.lower(collapse_spaces(F.col("line"))))
+def with_table_chunk(rows: DataFrame) -> DataFrame:
+    """Adds table_anchor and table_text to table rows: context prefix without repetition, statement anchor."""
+    norm = F.lower(collapse_spaces(F.col("line")))
 
     def unless_present(c):
-        return F.when(~F.col("_norm").contains(F.lower(collapse_spaces(F.col(c)))), F.col(c))
+        return F.when(~norm.contains(F.lower(collapse_spaces(F.col(c)))), F.col(c))
 
     text = F.concat_ws("\n", F.col("item"), unless_present("scale_line"), unless_present("intro_line"), F.col("line"))
     heading = F.concat_ws("\n", F.col("item"), F.substring("line", 1, 500))
-    return t.select(*keys, "seg_no", "line_no", table_anchor(heading, F.col("item_anchor")).alias("anchor"), "item",
-                    F.lit("table").alias("type"), "table_scale", text.alias("text"))
+    table = F.col("kind") == "table"
+    return rows.withColumns({"table_anchor": F.when(table, table_anchor(heading, F.col("item_anchor"))),
+                             "table_text": F.when(table, text)})
+
+
+def table_chunks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Atomic table chunks alone."""
+    return with_table_chunk(rows.filter("kind = 'table'")).select(
+        *keys, "seg_no", "line_no", F.col("table_anchor").alias("anchor"), "item", F.lit("table").alias("type"),
+        "table_scale", F.col("table_text").alias("text"))
 
 
 def anchor_violations(chunks: DataFrame, keys: list[str], required: list[str] | None = None) -> DataFrame:
@@ -127,9 +135,20 @@ def anchor_violations(chunks: DataFrame, keys: list[str], required: list[str] |
 
 
 def assert_anchor_coverage(chunks: DataFrame, keys: list[str], required: list[str] | None = None) -> DataFrame:
-    """Return ``chunks`` or raise, naming some of the documents and anchors that are missing."""
+    """Return stored ``chunks`` or raise, naming some of the documents and anchors that are missing."""
     missing = anchor_violations(chunks, keys, required).limit(20).collect()
     if missing:
         raise RuntimeError("Anchor coverage failed: " + "; ".join(
             " ".join(str(r[k]) for k in keys) + f" lacks {r['anchor']}" for r in missing))
     return chunks
+
+
+def refuse_missing(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """``chunks`` whose evaluation fails, naming document and anchors, where ``missing`` (dropped here) is not empty.
+
+    The check runs inside the pass that computes the texts; there is no second one.
+    """
+    message = F.concat(F.lit("Anchor coverage failed: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]),
+                       F.lit(" lacks "), F.array_join("missing", ", "))
+    text = F.when(F.size("missing") > 0, F.raise_error(message)).otherwise(F.col("text"))
+    return chunks.withColumn("text", text).drop("missing")

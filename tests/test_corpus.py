@@ -72,8 +72,19 @@ def test_sections_and_chunks(spark, pages):
 
 
 def test_missing_required_anchor_raises(spark, pages):
-    with pytest.raises(RuntimeError, match="cash_flow"):
-        C.chunk_sectionaware(pages, ["ticker", "fiscal_year"], required=["cash_flow"])
+    keys = ["ticker", "fiscal_year"]
+    with pytest.raises(Exception, match="lacks cash_flow"):  # raised inside the one pass that computes the chunks
+        C.chunk_sectionaware(pages, keys, required=["cash_flow", "item7_mdna"]).collect()
+    stored = C.chunk_sectionaware(pages, keys, required=["cash_flow", "item7_mdna"], keep_missing=True)
+    last = stored.orderBy(F.desc("chunk_no")).first()
+    assert last.missing == ["cash_flow"] and stored.filter("missing is not null").count() == 1
+    with pytest.raises(RuntimeError, match="lacks cash_flow"):
+        X.assert_anchor_coverage(stored, keys, ["cash_flow"])
+
+
+def test_chunk_job_parses_pages_once(spark, pages):
+    plan = C.chunk_sectionaware(pages, ["ticker", "fiscal_year"], required=[])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_table_can_open_a_section(spark):
