@@ -9,6 +9,7 @@ from redline.catalogue.views import ANNUAL_SQL, FACT_YEARS, FACTS_SQL, YEARS_SQL
 from redline.functions.money import fmt_money
 from redline.operators import evaluation as E
 from redline.operators import series as S
+from redline.operators.ranking import ordered_positions
 
 # The metric tags of the driver tables and the sections they are filed under.
 TAG_SECTIONS = {
@@ -156,14 +157,19 @@ def generated_questions(spark, sf_dir):
     tag = F.create_map(*[F.lit(v) for kv in _ASKED.items() for v in kv])[F.col("tag")]
     renamed = base.withColumns({"tag": tag, "fp": F.lit("FY"), "start": F.add_months("end", -12)})
     periods = base.filter("form = '10-K'").groupBy("ticker").agg(F.max("end").alias("period_end"))
-    # one row per filer; the order number is a dense rank over that short list
-    from pyspark.sql import Window as W
-    docs = periods.withColumn("ticker_order", F.row_number().over(W.orderBy("ticker")))
+    docs = ordered_positions(periods, ["ticker"], "ticker_order")
     out = S.generate_questions(renamed, docs, limit=20)
     return out.select("id", "question", "type", "expected_route", F.col("gold_chunks")[0].alias("gold_anchor"),
                       F.col("answer.value").alias("gold_value"))
 
 
+@register("facts_by_end", f"""WITH {FACTS_SQL}
+SELECT ticker, tag, "end", pos, val,
+       row_number() OVER (ORDER BY "end" DESC, ticker, tag, pos) - 1 AS position FROM facts""")
+def facts_by_end(spark, sf_dir):
+    return S.facts_by_end(facts(spark, sf_dir)).select("ticker", "tag", "end", "pos", "val", "position")
+
+
 @register("money_format", f"""WITH v AS (SELECT o_orderkey, (o_totalprice - 200000) * pow(1000, o_orderkey % 4) AS value FROM orders)
 SELECT o_orderkey, {_MONEY_SQL} AS shown FROM v""")
 def money_format(spark, sf_dir):

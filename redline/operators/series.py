@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from redline import dims
 from redline.functions.money import direction, fmt_amount_words, fmt_money, fmt_signed_pct
 from redline.functions.text import display_name, fiscal_year_label
+from redline.operators.ranking import ordered_positions
 
 KEY = ["ticker", "tag"]
 
@@ -26,6 +26,15 @@ def fact_values(facts: DataFrame, tags: list[str] | None = None) -> DataFrame:
     return out.withColumn("fy", fiscal_year_label(F.col("end")))
 
 
+def facts_by_end(values: DataFrame, out: str = "position") -> DataFrame:
+    """All values, latest period first, each with its 0-based place: by ranges of dates, not in one task.
+
+    Values of one date follow their ticker, tag, unit and place in the filing.
+    """
+    ties = [c for c in ("ticker", "tag", "unit", "pos") if c in values.columns]
+    return ordered_positions(values, [F.col("end").desc_nulls_last(), *ties], out)
+
+
 def fiscal_year_value(values: DataFrame, by_unit: bool = False) -> DataFrame:
     """One value per (ticker, tag, fy): the largest annual-report value, else the largest of any form."""
     keys = KEY + (["unit"] if by_unit else []) + ["fy"]
@@ -161,11 +170,7 @@ def generate_questions(facts: DataFrame, docs: DataFrame, tags: list[str] | None
     anchored = first.join(F.broadcast(dims.tag_dim(facts.sparkSession).select("tag", "anchor")), "tag")
     if limit is not None:
         anchored = anchored.orderBy("ticker_order", "slot").limit(limit)
-    per_ticker = anchored.groupBy("ticker_order").agg(F.count(F.lit(1)).alias("n"))
-    # a running count over tickers; within a ticker there are at most len(tags) questions
-    offsets = per_ticker.select("ticker_order", (F.sum("n").over(W.orderBy("ticker_order")) - F.col("n")).alias("base"))
-    numbered = anchored.join(offsets, "ticker_order").withColumn(
-        "qid", F.col("base") + F.row_number().over(W.partitionBy("ticker_order").orderBy("slot")))
+    numbered = ordered_positions(anchored, ["ticker_order", "slot"], "qid").withColumn("qid", F.col("qid") + 1)
     fy = F.substring(F.col("end").cast("string"), 1, 4)
     return numbered.select(
         F.concat(F.lower("ticker"), F.lit("-fy"), fy, F.lit("-"), F.lower(F.substring("tag", 1, 24)), F.lit("-"),
