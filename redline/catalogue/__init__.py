@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    for m in ("metrics", "changes", "retrieval", "corpus", "answers", "tuning", "stores"):
+    for m in ("metrics", "changes", "retrieval", "corpus", "answers", "tuning", "stores", "guards"):
         importlib.import_module("redline.catalogue." + m)
