@@ -13,6 +13,7 @@ from redline.operators import chunking as CH
 from redline.operators import extract as X
 from redline.operators.ranking import top_per_key
 from redline.operators.series import gold_span
+from redline.sources.filings import latest_n
 from redline.session import spread
 
 
@@ -132,6 +133,33 @@ def latest_n_per_entity(spark, sf_dir):
                        ["ticker"], [F.col("doc_id").desc()], 3, "recency")
 
 
+@register("latest_filings", """WITH listed AS (
+  SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place
+  FROM orders WHERE o_orderstatus = 'F'),
+wanted AS (SELECT * FROM listed WHERE place BETWEEN 2 AND 4)
+SELECT CAST(o_custkey AS VARCHAR) AS cik, c_name AS entity_name,
+       lpad(CAST(o_custkey AS VARCHAR), 10, '0') || strftime(o_orderdate, '%y') || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accession_no,
+       'd' || o_orderkey || '.htm' AS doc_filename, strftime(o_orderdate, '%Y-%m-%d') AS period_end,
+       'FY' || strftime(o_orderdate, '%Y') AS fiscal_year, place - 1 AS rank
+FROM wanted JOIN customer ON c_custkey = o_custkey""")
+def latest_filings(spark, sf_dir):
+    """Customers' orders as submission lists (parallel arrays, latest first): three of a form after the most recent one."""
+    key, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("timestamp")
+    entry = F.struct((-F.unix_seconds(day)).alias("recency"), F.col("o_orderkey"),
+                     F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form"),
+                     F.concat_ws("-", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.date_format(day, "yy"),
+                                 F.lpad(key, 6, "0")).alias("accessionNumber"),
+                     F.concat(F.lit("d"), key, F.lit(".htm")).alias("primaryDocument"),
+                     F.date_format(day, "yyyy-MM-dd").alias("reportDate"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(  # the orders of one customer
+        F.array_sort(F.collect_list(entry)).alias("e"))
+    recent = F.struct(*[F.col(f"e.{n}").alias(n) for n in ("form", "accessionNumber", "primaryDocument", "reportDate")])
+    submissions = lists.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").cast("string").alias("cik"), F.col("c_name").alias("name"),
+        F.struct(recent.alias("recent")).alias("filings"))
+    return latest_n(submissions, 3, offset=1)
+
+
 @register("latest_year_chunks", f"""WITH {DOCS_SQL}
 SELECT ticker, fiscal_year, doc_id FROM docs
 WHERE (ticker, fiscal_year) IN (SELECT (ticker, max(fiscal_year)) FROM docs GROUP BY ticker)""")

@@ -176,6 +176,50 @@ def span_overlap(spark, sf_dir):
     return SP.span_overlap(chunks, gold, ["doc_id"])
 
 
+_WORD_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\pL\\pM\\pN\\p{{{{Pc}}}}]+'), lambda w: w <> ''))"
+
+
+@register("span_retrieval_metrics", f"""WITH {_WINDOWS_SQL},
+ids AS (SELECT doc_id * 100000 + chunk_no AS chunk_id, "start", "end", text FROM chunks),
+c_tok AS (SELECT chunk_id, CAST('0x' || substr(md5(t), 1, 2) AS INT) % 128 AS slot, count(*) AS n
+          FROM (SELECT chunk_id, unnest(string_split(text, ' ')) AS t FROM ids) WHERE t <> '' GROUP BY ALL),
+q_tok AS (SELECT item_id, CAST('0x' || substr(md5(t), 1, 2) AS INT) % 128 AS slot, count(*) AS n
+          FROM (SELECT item_id, unnest(string_split(text, ' ')) AS t FROM benchmark) WHERE t <> '' GROUP BY ALL),
+c_vec AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS w FROM c_tok),
+q_vec AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS w FROM q_tok),
+sims AS (SELECT item_id, chunk_id, round(sum(q.w * c.w), 9) AS s FROM q_vec q JOIN c_vec c USING (slot) GROUP BY ALL),
+top20 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id) AS first_rank FROM sims QUALIFY first_rank <= 20),
+scored AS (SELECT t.item_id, t.chunk_id, first_rank, c."start", c."end",
+             len(list_intersect({_WORD_SQL.format('b.text')}, {_WORD_SQL.format('c.text')})) / len({_WORD_SQL.format('b.text')}) AS score
+           FROM top20 t JOIN ids c USING (chunk_id) JOIN benchmark b ON b.item_id = t.item_id),
+top5 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_rank) AS rank FROM scored QUALIFY rank <= 5),
+gold AS (SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS g0, strpos(d.text, b.text) - 1 + length(b.text) AS g1
+         FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+met AS (SELECT t.item_id, count(DISTINCT chunk_id) AS n_hits, count(DISTINCT doc_id) AS n_covered
+        FROM top5 t JOIN gold g ON g.item_id = t.item_id AND t."start" < g1 AND g0 < t."end" GROUP BY ALL)
+SELECT b.item_id, (SELECT count(*) FROM top5 t WHERE t.item_id = b.item_id) AS n_retrieved, 0 AS n_anchor_hits,
+       coalesce(n_hits, 0) AS n_span_hits, coalesce(n_hits, 0) AS n_matched,
+       coalesce(n_hits, 0) / (SELECT count(*) FROM top5 t WHERE t.item_id = b.item_id) AS retrieval_precision,
+       coalesce(n_covered / (SELECT count(*) FROM gold g WHERE g.item_id = b.item_id), 0) AS retrieval_recall,
+       coalesce(n_hits, 0) > 0 AS retrieval_hit
+FROM benchmark b LEFT JOIN met USING (item_id)""".replace("{{", "{").replace("}}", "}"))
+def span_retrieval_metrics(spark, sf_dir):
+    """Benchmark passages put to windows of the documents: top 20 by vector, top 5 by word overlap, scored by the places
+    where the passages really stand (a place that several documents share counts for each)."""
+    docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    windows = chunk_windows(docs, ["doc_id"]).select(
+        (F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("chunk_id"), "span_start", "span_end", "text")
+    asks = V.embed(items, "text", role="query").select(F.col("item_id").alias("query_id"), "vector")
+    near = V.vector_topk(asks, V.embed(windows).select("chunk_id", "vector"))
+    texts = near.join(windows, "chunk_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    best = V.rerank(texts, V.token_overlap(F.col("q"), F.col("text")))
+    places = SP.find_passages(docs, items).groupBy("item_id").agg(
+        F.collect_list(F.array(F.col("start").cast("int"), F.col("end").cast("int"))).alias("gold_spans"))
+    gold = items.select("item_id").join(places, "item_id", "left").withColumn("gold_chunks", F.array().cast("array<string>"))
+    hits = best.select(F.col("query_id").alias("item_id"), F.lit("none").alias("anchor"), "span_start", "span_end")
+    return E.retrieval_score(hits, gold, ["item_id"])
+
+
 # ---- scored runs -----------------------------------------------------------------------------------------
 # Question n is put to every configuration. Its answer is the text of conversation n / 25, reworded by
 # n / 25 mod 4 so that every route occurs; numerical questions ask for n or n million.
