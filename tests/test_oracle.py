@@ -9,7 +9,6 @@ from redline import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 catalogue.load_all()
-SLOW = {"greedy_match_distributed"}  # many small jobs; its algorithm is pinned in test_matching
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_query_equals_its_sql(spark, con, name):
     ok, message = compare(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLES[name])
     assert ok, message
