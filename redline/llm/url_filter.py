@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm.common import table
+from redline.llm.common import free_name, table
 from redline.session import cut_lineage
 
 MAX_BLOCKS = 1 << 20
@@ -77,21 +77,22 @@ def blocked_bloom(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 
 def mark_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, name: str = "_listed") -> DataFrame:
-    """``df`` with a boolean: is its key (null: no) in the list? ``key`` and ``name`` are no columns of ``listed``."""
-    keys = cut_lineage(listed.select(F.col(listed_key).alias("_key")).filter("_key is not null").distinct())
-    bloom, blocks = blocked_bloom(keys, "_key")
+    """``df`` with a boolean: is its key (null: no) in the list? A column ``name`` of ``df`` is replaced."""
+    own_block, own_mask, word, maybe, own = (free_name(df, c) for c in ("_block", "_mask", "_word", "_maybe", "_key"))
+    keys = cut_lineage(listed.select(F.col(listed_key).alias(own)).filter(F.col(own).isNotNull()).distinct())
+    bloom, blocks = blocked_bloom(keys, own)
+    bloom = bloom.select(F.col("_block").alias(own_block), F.col("_word").alias(word))
     block, mask = _place(F.col(key), blocks)
     # a null key gets a block below zero, which the filter does not have
-    marked = df.withColumn("_block", F.when(F.col(key).isNotNull(), block).otherwise(-1)).withColumn("_mask", mask)
-    probed = (marked.join(F.broadcast(bloom), "_block", "left")  # at most MAX_BLOCKS rows
-              .withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask"),
-                                               F.lit(False)))
-              .drop("_block", "_mask", "_word"))
+    marked = df.withColumn(own_block, F.when(F.col(key).isNotNull(), block).otherwise(-1)).withColumn(own_mask, mask)
+    probed = (marked.join(F.broadcast(bloom), own_block, "left")  # at most MAX_BLOCKS rows
+              .withColumn(maybe, F.coalesce(F.col(word).bitwiseAND(F.col(own_mask)) == F.col(own_mask), F.lit(False)))
+              .drop(own_block, own_mask, word))
     probed = cut_lineage(probed)
-    passed = probed.filter("not _maybe").withColumn(name, F.lit(False))
-    hits = (probed.filter("_maybe").join(keys, F.col(key) == F.col("_key"), "left")
-            .withColumn(name, F.col("_key").isNotNull()).drop("_key"))
-    return passed.unionByName(hits).drop("_maybe")
+    passed = probed.filter(~F.col(maybe)).withColumn(name, F.lit(False))
+    hits = (probed.filter(F.col(maybe)).join(keys, F.col(key) == F.col(own), "left")
+            .withColumn(name, F.col(own).isNotNull()).drop(own))
+    return passed.unionByName(hits).drop(maybe)
 
 
 def judge(pages: DataFrame, listed: DataFrame, listed_col: str, rules=RULES, id_col: str = "page_id",

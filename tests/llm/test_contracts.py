@@ -66,3 +66,16 @@ def test_hashed_search_of_mixed_lengths_and_repeated_ids(spark):
     assert {r.query_id for r in got} == {0, 20, 40, 60, 80} and len(got) == 100
     for r in got:
         assert abs(r.score - np.dot(vectors[r.query_id], vectors[r.vec_id])) < 1e-12
+
+
+def test_url_filter_keeps_columns_of_clashing_names(spark):
+    from redline.llm import url_filter
+    schema = "u string, _block int, _mask string, _word int, _maybe string, _key int, listed int"
+    df = spark.createDataFrame([("a", 1, "m", 2, "n", 3, 9), ("b", 4, "o", 5, "p", 6, 9), (None, 7, None, 8, "q", None, 9)], schema)
+    keys = spark.createDataFrame([("b",), ("c",), (None,)], "_key string")
+    got = url_filter.mark_listed(df, "u", keys, "_key", "listed")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [("a", 1, "m", 2, "n", 3, False), ("b", 4, "o", 5, "p", 6, True), (None, 7, None, 8, "q", None, False)], key=str)
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(pages, keys, "_key").collect() == []
