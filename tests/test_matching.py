@@ -138,3 +138,39 @@ def test_rounds_compute_fewer_and_fewer_lists(spark):
     assert {(r.old_idx, r.new_idx, r.similarity) for r in got.filter("kind = 'matched'").collect()} == greedy(
         old["a"], new["a"], 0.5)
     assert log[0] == 70 and max(log[1:]) < 30 and len(log) > 2
+
+
+def test_section_of_a_task_is_matched_in_strips():
+    """22,900 paragraphs a side are one task's work, and no task holds the matrix of all pairs."""
+    import tracemalloc
+    assert 22_900 ** 2 <= M.MAX_CELLS and 22_900 <= M.MAX_SIDE
+    rng = np.random.default_rng(3)
+    old, new = (unit(1 + 0.3 * rng.normal(size=(n, 16))) for n in (3000, 2500))
+    new[:400] = old[:400]
+    new[400:600] = old[0]
+    tracemalloc.start()
+    i, j, s = M.greedy_pairs(old, new, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.9 * 8 * len(old) * len(new) * 2
+    sims = np.round(old @ new.T, 9)
+    free_o, free_n = np.ones(len(old), bool), np.ones(len(new), bool)
+    assert np.all(np.diff(s) <= 0) and len(i) == len(new)
+    for a, b, v in zip(i, j, s):  # each pair is the best among those still free, smaller positions first
+        assert free_o[a] and free_n[b] and v == sims[a, b]
+        row = np.where(free_n, sims[a], -1)
+        col = np.where(free_o, sims[:, b], -1)
+        assert row.argmax() == b and col.argmax() == a
+        free_o[a] = free_n[b] = False
+
+
+@pytest.mark.parametrize("strip", [1, 50, 10_000])
+def test_short_lists_and_strips_change_nothing(monkeypatch, strip):
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        monkeypatch.setattr(M, "STRIP_CELLS", strip)
+        monkeypatch.setattr(M, "NEAREST", int(rng.integers(1, 4)))
+        monkeypatch.setattr(M, "TOGETHER", int(rng.integers(1, 5)))
+        o, n = (unit(rng.integers(0, 3, (rng.integers(1, 40), 3)).astype(float)) for _ in range(2))
+        i, j, s = M.greedy_pairs(o, n, 0.6)
+        assert set(zip(i.tolist(), j.tolist(), s.tolist())) == greedy(o, n, 0.6), seed
