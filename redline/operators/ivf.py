@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from redline import dims
 from redline.operators.ranking import top_per_key
-from redline.operators.vectors import DIGITS, as_matrix, best_rows, unit_rows, vector_topk
+from redline.operators.vectors import as_matrix, partial_topk, unit_rows, vector_topk
 from redline.session import checkpoint_dir, cut_lineage
 
 FIT_ROWS = 16_384
 MAX_CENTRE_BYTES = 256 << 20
 PART_ROWS = 4096
+PROBES_HELD = 1 << 15  # rows of (list, query, vector) that a task makes at a time
 
 
 @dataclass
@@ -136,7 +137,8 @@ def search_ivf(queries: DataFrame, index: InvertedFile, k: int = dims.TOP_K_RETR
 
     def nearest_lists(batches):
         centres, n = shared.value
-        for b in batches:
+        step = max(1, PROBES_HELD // n)  # every query is repeated with its vector for each list it probes
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             if b.num_rows:
                 near = np.argsort(-(as_matrix(b["vector"]) @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
                 at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
@@ -152,15 +154,11 @@ def search_ivf(queries: DataFrame, index: InvertedFile, k: int = dims.TOP_K_RETR
              .select("list", "part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "id", "vector"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, asks, parts = right["id"].to_numpy(), left["q"], ([], [], [])
-        if left.num_rows and right.num_rows:
-            sims = np.round(as_matrix(left["v"]) @ as_matrix(right["vector"]).T, DIGITS)
-            for i in range(left.num_rows):
-                top = best_rows(sims[i], ids, k)
-                for to, x in zip(parts, (np.full(len(top), i), top, sims[i][top]), strict=True):
-                    to.append(x)
-        rows, cols, values = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-        return pa.table({"q": asks.take(pa.array(rows.astype(np.int64))), "c": right["id"].take(pa.array(cols.astype(np.int64))),
+        ids, asks = right["id"].to_numpy(), left["q"]
+        found = list(partial_topk(np.arange(left.num_rows), as_matrix(left["v"]), ids, as_matrix(right["vector"]), k)
+                     ) if left.num_rows and right.num_rows else []
+        rows, near, values = (np.concatenate([p[j] for p in found]) if found else np.zeros(0, np.int64) for j in range(3))
+        return pa.table({"q": asks.take(pa.array(rows.astype(np.int64))), "c": pa.array(near, right["id"].type),
                          "similarity": pa.array(values.astype(np.float64))})
     keys = ["list", "part", "block"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(

@@ -123,6 +123,7 @@ def with_config_id(df: DataFrame) -> DataFrame:
 
 MAX_SHARED_QUERIES = 8192
 MAX_SHARED_BYTES = 64 << 20  # of the query matrix, per executor
+STRIP_CELLS = 1 << 21        # similarities a task holds at once (16 MB)
 
 
 def best_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -162,11 +163,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRI
                        (1 - F.col("similarity")).alias("distance"), "rank")
 
 
-def _partial_topk(q_ids, qm, c_ids, cm, k):
-    sims = np.round(qm @ cm.T, DIGITS)
-    for i in range(len(q_ids)):
-        top = best_rows(sims[i], c_ids, k)
-        yield np.repeat(q_ids[i:i + 1], len(top)), c_ids[top], sims[i][top]
+def partial_topk(q_ids, qm, c_ids, cm, k):
+    """Per query (its id repeated, ids, similarities) of its k best rows; ``STRIP_CELLS`` similarities exist at a time."""
+    step = max(1, STRIP_CELLS // max(1, len(c_ids)))
+    for at in range(0, len(q_ids), step):
+        sims = np.round(qm[at:at + step] @ cm.T, DIGITS)
+        for i in range(len(sims)):
+            top = best_rows(sims[i], c_ids, k)
+            yield np.repeat(q_ids[at + i:at + i + 1], len(top)), c_ids[top], sims[i][top]
 
 
 def _scan_kernel(shared, k):
@@ -178,7 +182,7 @@ def _scan_kernel(shared, k):
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
-            parts = list(_partial_topk(q_ids, qm, batch["c"].to_numpy(zero_copy_only=False),
+            parts = list(partial_topk(q_ids, qm, batch["c"].to_numpy(zero_copy_only=False),
                                        as_matrix(batch["v"]), k))
             if best is not None:  # merge with what earlier batches of the task kept
                 parts = [tuple(np.concatenate([a, b]) for a, b in zip(old, new)) for old, new in zip(best, parts)]
@@ -203,25 +207,21 @@ def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, schema: str) -> D
     nq, nc = q.count(), c.count()
     n_q, n_c = max(1, -(-nq // rows)), max(1, -(-nc // SLAB_ROWS))
 
-    def slabs(df, id_col, n, name):
-        return (df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(name))
-                .agg(F.collect_list(id_col).alias(name + "_ids"), F.collect_list("v").alias(name + "_vs")))
+    def met(name, other):
+        return (F.pmod(F.xxhash64(name), F.lit({"q": n_q, "c": n_c}[name])).cast("int").alias(f"{name}s"),
+                F.explode(F.sequence(F.lit(0), F.lit({"q": n_q, "c": n_c}[other] - 1))).alias(f"{other}s"))
 
-    grid = (q.sparkSession.range(n_q * n_c)
-            .select((F.col("id") % n_q).alias("qs"), F.floor(F.col("id") / n_q).alias("cs")))
-    met = grid.join(slabs(q, "q", n_q, "qs"), "qs").join(slabs(c, "c", n_c, "cs"), "cs")
+    keys = ["qs", "cs"]
+    left, right = q.select(*met("q", "c"), "q", "v"), c.select(*met("c", "q"), "c", "v")
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = {n: batch.column(n).slice(i, 1).flatten() for n in ("qs_ids", "qs_vs", "cs_ids", "cs_vs")}
-                parts = list(_partial_topk(
-                    one["qs_ids"].to_numpy(zero_copy_only=False), as_matrix(one["qs_vs"]),
-                    one["cs_ids"].to_numpy(zero_copy_only=False), as_matrix(one["cs_vs"]), k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([p[j] for p in parts])) for j in range(3)], ["q", "c", "similarity"])
-
-    return met.mapInArrow(run, schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = [(left["q"].to_numpy()[:0], right["c"].to_numpy()[:0], np.zeros(0))]
+        parts = none + list(partial_topk(left["q"].to_numpy(), as_matrix(left["v"]), right["c"].to_numpy(),
+                                          as_matrix(right["v"]), k) if left.num_rows and right.num_rows else [])
+        return pa.table([pa.array(np.concatenate([p[j] for p in parts])) for j in range(3)], ["q", "c", "similarity"])
+
+    # one meeting of two slabs is one group: an Arrow batch of the joined slabs would hold many
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def rerank(hits: DataFrame, score: Column, k: int = dims.TOP_K_FINAL, query_id: str = "query_id") -> DataFrame:

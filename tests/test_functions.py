@@ -178,3 +178,20 @@ def test_text_helpers(spark):
     assert one(spark, ["A.\n\n\n\nB.", "  \n\n ", "one"], T.paragraphs) == [["A.", "B."], [], ["one"]]
     assert one(spark, ["x\nus-gaap:Assets\n\n0000320193\nFY\nFYI"], T.strip_noise_lines) == ["x\n\nFYI"]
     assert one(spark, ["2025-09-27"], T.fiscal_year_label) == ["FY2025"]
+
+
+def test_best_rows_of_many_queries_are_found_in_strips():
+    """4,000 queries against a batch of 10,000 rows: no task holds all their similarities (320 MB)."""
+    import tracemalloc
+    import numpy as np
+    from redline.operators import vectors as V
+    rng = np.random.default_rng(5)
+    asks, rows, ids = rng.integers(-3, 4, (4000, 4)) / 4, rng.integers(-3, 4, (10_000, 4)) / 4, rng.permutation(10_000)
+    tracemalloc.start()
+    got = list(V.partial_topk(np.arange(4000), asks, ids, rows, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(got) == 4000
+    for q in (0, 1, 208, 209, 210, 3999):  # on both sides of a strip's end
+        want = sorted(zip(-np.round(rows @ asks[q], V.DIGITS), ids))[:3]
+        assert [(-s, c) for s, c in zip(got[q][2], got[q][1])] == want and set(got[q][0]) == {q}
