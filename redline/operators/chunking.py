@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from redline import dims
 from redline.functions.text import strip
 from redline.operators import extract as X
 
+SLICE = 64  # texts of an Arrow batch that a task takes apart at a time
+
 
 def chunk_windows(df: DataFrame, keys: list[str], size: int = dims.FIXED_CHUNK_CHARS,
                   overlap: int = dims.FIXED_OVERLAP_CHARS) -> DataFrame:
@@ -110,9 +113,13 @@ def _prose_chunks(text: str, target: int, limit: int) -> list[str]:
 
 def split_prose(text: Column, target: int = dims.TARGET_CHUNK_CHARS, limit: int = dims.MAX_CHUNK_CHARS) -> Column:
     """``ARRAY<STRING>`` of prose chunks: whole paragraphs, else whole lines, else cuts inside a line."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_prose_chunks(t, target, limit) for t in texts.fillna("")])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        # only the texts of one slice and their chunks exist as Python objects
+        return pa.concat_arrays([pa.array([], kind)] + [
+            pa.array([_prose_chunks(t or "", target, limit) for t in texts.slice(at, SLICE).to_pylist()], kind)
+            for at in range(0, len(texts), SLICE)])
 
     return run(text)
 

@@ -167,3 +167,20 @@ def test_filings_facts_and_submissions_from_files(spark, tmp_path):
     (tmp_path / "sub.json").write_text(json.dumps(sub))
     recent = S.latest_n(S.read_submissions(spark, str(tmp_path / "sub.json")), 2, offset=1).orderBy("rank").collect()
     assert [(r.accession_no, r.fiscal_year) for r in recent] == [("22", "FY2023"), ("33", "FY2022")]
+
+
+def test_batches_are_read_in_slices(spark):
+    """A batch of many pages or texts is taken apart a slice at a time; nulls and keys keep their places."""
+    from redline.operators import chunking, extract
+    batch = pd.DataFrame({"k": list(range(150)), "html": [f"<p>{i}</p>" for i in range(150)]})
+    parts = list(extract.sliced(iter([batch])))
+    assert max(map(len, parts)) <= extract.SLICE and pd.concat(parts)["k"].tolist() == list(range(150))
+    texts = [None if i % 7 == 0 else f"a{i}\n\nb{i} " * (i % 5) for i in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    got = {r.k: r.c for r in rows.select("k", chunking.split_prose(F.col("t"), 5, 9).alias("c")).collect()}
+    assert got == {i: chunking._prose_chunks(t or "", 5, 9) for i, t in enumerate(texts)}
+    pages = rows.select("k", F.when(F.col("k") % 9 != 0, F.concat(F.lit("<p>x"), "k", F.lit("</p><table><tr><td>y</td></tr></table>"))
+                                    ).otherwise("").alias("html"))
+    found = extract.extract_segments(pages, ["k"]).orderBy("k", "seg_no").collect()
+    assert [(r.k, r.seg_no, r.kind) for r in found] == [
+        (k, n, kind) for k in range(150) if k % 9 for n, kind in enumerate(("prose", "table"))]
