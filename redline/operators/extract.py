@@ -21,6 +21,14 @@ from redline.operators.once import compute_once
 from redline.sources.html import read_page
 
 CONTEXT_CHARS = 3000
+SLICE = 64  # pages of an Arrow batch that a task reads at a time
+
+
+def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages a few at a time: what is read from them exists for one slice only."""
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            yield pdf.iloc[at:at + SLICE]
 
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -43,7 +51,7 @@ def extract_segments(df: DataFrame, keys: list[str], html: str = "html") -> Data
         T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             rows = [(*key, no, kind, text) for *key, page in pdf[[*keys, html]].itertuples(index=False, name=None)
                     for no, (kind, text) in enumerate(read_page(page, dims.DROPPED_ELEMENTS).segments)]
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
