@@ -174,3 +174,31 @@ def test_short_lists_and_strips_change_nothing(monkeypatch, strip):
         o, n = (unit(rng.integers(0, 3, (rng.integers(1, 40), 3)).astype(float)) for _ in range(2))
         i, j, s = M.greedy_pairs(o, n, 0.6)
         assert set(zip(i.tolist(), j.tolist(), s.tolist())) == greedy(o, n, 0.6), seed
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e20])
+def test_products_in_single_precision_only_preselect(scale):
+    """Similarities that single precision cannot tell apart, of vectors of any length; doubles are multiplied for few pairs."""
+    rng = np.random.default_rng(11)
+    rows, cols = (_near_parallel(s, n) for s, n in ((5, 40), (6, 900)))
+    sims = np.round((rows * scale) @ (cols / scale).T, 9)
+    closed = np.flatnonzero(rng.random(900) < 0.2)
+    sims[:, closed] = -np.inf
+    for k in (1, 4, 30):
+        (i, j, s), cut = M.best_columns(rows * scale, cols / scale, 0.5, k, closed)
+        for r in range(len(rows)):
+            best = np.sort(sims[r][sims[r] >= 0.5])[::-1]
+            assert np.array_equal(s[i == r], best[:k]) and np.array_equal(s[i == r], sims[r, j[i == r]])
+            assert cut[r] == (best[k] if len(best) > k else -np.inf)
+
+
+def test_few_products_of_a_section_are_double(monkeypatch):
+    """A section of one task computes double products for the likely pairs only, and 65,536 paragraphs a side are one task's."""
+    assert (1 << 16) ** 2 <= M.MAX_CELLS and 1 << 16 <= M.MAX_SIDE
+    seen, exact = [], M._exact
+    monkeypatch.setattr(M, "_exact", lambda rows, cols, i, j: seen.append(len(i)) or exact(rows, cols, i, j))
+    rng = np.random.default_rng(12)
+    old, new = (unit(1 + 0.3 * rng.normal(size=(n, 16))) for n in (2000, 1800))
+    i, j, s = M.greedy_pairs(old, new, 0.5)
+    assert {(a, b, v) for a, b, v in zip(i.tolist(), j.tolist(), s.tolist())} == greedy(old[:], new, 0.5)
+    assert 0 < sum(seen) < len(old) * len(new) / 4
