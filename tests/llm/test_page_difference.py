@@ -112,6 +112,23 @@ def test_differences_of_a_hot_host_in_blocks(spark):
     assert sum("imprint" in x for x in texts) < 30 < sum(i % 10 != 3 for i in range(300))
 
 
+def test_the_difference_decides_what_the_article_is(spark):
+    """An element named article that every page of a site has is none; one that holds what a page alone says is, be it small."""
+    def words(seed, n):
+        return " ".join(f"w{random.Random(f'{seed} {k}').randrange(10**6)}" for k in range(n))
+
+    card = f"<article><p>{words('card', 40)}"
+    rows, want = [], {}
+    for i in range(4):
+        rows.append((i, f"http://cards.example/{i}", f"{card}<p>{words(f'by {i}', 8)}</article><p>{words(f'text {i}', 38)}"))
+        want[i] = [words(f"by {i}", 8), words(f"text {i}", 38)]
+        rows.append((10 + i, f"http://template.example/{i}", f"<p>{words('all sites', 45)}<article><p>{words(f'a {i}', 30)}"
+                     f"<p>{words('licence', 3)}<p>{words(f'b {i}', 10)}</article><p>{words(f'c {i}', 12)}"))
+        want[10 + i] = [words(f"a {i}", 30), words("licence", 3), words(f"b {i}", 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r._id: r.lines for r in page_difference.main_text(pages).collect()} == want
+
+
 def test_awkward_rows(spark):
     schema = "page_id long, url string, html string, _row int, position string, lines string, _lines int"
     rows = [(1, "http://a/x", "<p>one", 1, None, None, None), (1, "http://a/x", "<p>one", 1, None, None, None),
