@@ -285,7 +285,7 @@ def _vector_sides(spark, sf_dir):
     # positions need ids only and are counted block by block; the vectors join back by id
     placed = rank_within(e.select("label", "side", "vec_id"), ["label", "side"], [F.col("vec_id")], "idx",
                          levels=[F.floor(F.col("vec_id") / BLOCK)])
-    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).join(placed, "vec_id")
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).join(placed.hint("merge"), "vec_id")
     return tuple(e.filter(F.col("side") == s).select("label", "idx", "vector", "vec_id") for s in (0, 1))
 
 

@@ -324,7 +324,7 @@ def _tiles(groups: DataFrame, keys: list[str], side: str, tile: int) -> DataFram
     g = groups.withColumns({"_l1": norm1, "_top": peak}).withColumn(
         "_class", F.floor(F.log2(F.greatest("_l1", F.lit(1e-9))) * 4))
     per_class = g.groupBy(*keys, "_class").agg(F.ceil(F.count(F.lit(1)) / tile).alias("_tiles"))
-    placed = g.join(per_class, [*keys, "_class"]).withColumn("_slot", F.pmod(F.xxhash64("gid"), F.col("_tiles")))
+    placed = g.join(per_class.hint("merge"), [*keys, "_class"]).withColumn("_slot", F.pmod(F.xxhash64("gid"), F.col("_tiles")))
     return placed.groupBy(*keys, "_class", "_slot").agg(
         F.collect_list("gid").alias(f"{side}_gid"), F.collect_list("head").alias(f"{side}_head"),
         F.collect_list("vector").alias(f"{side}_vec"), F.max("_l1").alias(f"{side}_l1"),
@@ -337,10 +337,10 @@ def _tile_meetings(old: DataFrame, new: DataFrame, keys: list[str], floor: float
     o, n = _tiles(old, keys, "old", tile), _tiles(new, keys, "new", tile)
     bound = F.least(F.col("old_l1") * F.col("new_top"), F.col("new_l1") * F.col("old_top"))
     ids = (o.select(*keys, "old_tile", "old_l1", "old_top")
-           .join(n.select(*keys, "new_tile", "new_l1", "new_top"), keys)
+           .join(n.select(*keys, "new_tile", "new_l1", "new_top").hint("merge"), keys)
            .filter(bound >= floor - 1e-6).select(*keys, "old_tile", "new_tile"))
-    return (ids.join(o.drop("old_l1", "old_top"), [*keys, "old_tile"])
-            .join(n.drop("new_l1", "new_top"), [*keys, "new_tile"]))
+    return (ids.join(o.drop("old_l1", "old_top").hint("merge"), [*keys, "old_tile"])
+            .join(n.drop("new_l1", "new_top").hint("merge"), [*keys, "new_tile"]))
 
 
 def _run_tiles(meetings: DataFrame, keys: list[str], kernel, schema: T.StructType) -> DataFrame:
@@ -394,11 +394,20 @@ def _list_kernel(floor: float, two_way: bool):
     return kernel
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """:func:`cut_lineage` for the tables of the rounds, which meet by sorting: what is broadcast in every round passes
+    through the driver and adds up."""
+    table = cut_lineage(df)
+    out = table.hint("merge")
+    out.redline_path = table.redline_path
+    return out
+
+
 def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float, tile: int = TILE,
                  log: list | None = None) -> DataFrame:
     """Matching by rounds; ``log`` receives the number of groups whose lists each round computed."""
-    copies = {"old": cut_lineage(_copies(old, keys)), "new": cut_lineage(_copies(new, keys))}
-    state = {s: cut_lineage(_groups(c, keys).withColumns({"n": F.col("n").cast("long"), "used": F.lit(0).cast("long")}))
+    copies = {"old": cut(_copies(old, keys)), "new": cut(_copies(new, keys))}
+    state = {s: cut(_groups(c, keys).withColumns({"n": F.col("n").cast("long"), "used": F.lit(0).cast("long")}))
              for s, c in copies.items()}
     owner = [*keys, "side", "gid"]
     schema = T.StructType([old.schema[k] for k in keys] + [
@@ -418,23 +427,24 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
 
     known, runs, done = None, [], []  # known: the lists kept; done: tables no longer needed
     while True:
-        headed = {s: cut_lineage(state[s].join(
+        headed = {s: cut(state[s].join(
             copies[s].select(*keys, "gid", F.col("copy").alias("used"), F.col("idx").alias("head")), [*keys, "gid", "used"]))
             for s in state}
         free = headed["old"].select(*keys, F.lit("old").alias("side"), "gid", "head").unionByName(
             headed["new"].select(*keys, F.lit("new").alias("side"), "gid", "head"))
         if known is None:
-            fresh = cut_lineage(lists(headed["old"], headed["new"], True))
+            fresh = cut(lists(headed["old"], headed["new"], True))
             current = fresh
             if log is not None:
                 log.append(free.count())
         else:
             partner = free.select(*keys, other(F.col("side")).alias("side"), F.col("gid").alias("partner"),
                                   F.col("head").alias("partner_head"))
-            kept = cut_lineage(known.join(free.select(*owner), owner).join(partner, [*keys, "side", "partner"], "left"))
+            kept = cut(known.join(free.select(*owner), owner).join(
+                partner.hint("merge"), [*keys, "side", "partner"], "left"))
             usable = kept.filter(F.col("partner_head").isNotNull()
                                  & (F.col("cutoff").isNull() | (F.col("similarity") > F.col("cutoff"))))
-            stale = cut_lineage(kept.filter("cutoff is not null").select(*owner).distinct()
+            stale = cut(kept.filter("cutoff is not null").select(*owner).distinct()
                                 .join(usable.select(*owner), owner, "left_anti"))
             done += [known, kept, stale]
             if log is not None:
@@ -445,9 +455,9 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
                 got = lists(rows, headed["new" if side == "old" else "old"], False).withColumn("side", F.lit(side))
                 again = got if again is None else again.unionByName(got)
             columns = [*owner, "partner", "partner_head", "similarity", "cutoff"]
-            current = cut_lineage(usable.select(*columns).unionByName(again.select(*columns)))
+            current = cut(usable.select(*columns).unionByName(again.select(*columns)))
         ranked = top_per_key(current.drop("rank"), owner, [F.col("similarity").desc(), F.col("partner_head")], 2)
-        top = cut_lineage(ranked)
+        top = cut(ranked)
         first = top.filter("rank = 1")
         tie = top.filter("rank = 2").select(*owner, F.col("similarity").alias("tie_sim"),
                                             F.col("partner_head").alias("tie_head"))
@@ -457,7 +467,7 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
                                                 "similarity", F.col("tie_head").alias("new_stop"))
         n = first.filter("side = 'new'").select(*keys, F.col("gid").alias("new_gid"), F.col("partner").alias("old_gid"),
                                                 F.col("tie_head").alias("old_stop"))
-        mutual = (o.join(n, [*keys, "old_gid", "new_gid"])
+        mutual = (o.join(n.hint("merge"), [*keys, "old_gid", "new_gid"])
                   .join(state["old"].select(*keys, F.col("gid").alias("old_gid"), F.col("n").alias("n_old"),
                                             F.col("used").alias("old_from")), [*keys, "old_gid"])
                   .join(state["new"].select(*keys, F.col("gid").alias("new_gid"), F.col("n").alias("n_new"),
@@ -468,10 +478,10 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
                      .select(*keys, F.col(f"{side}_gid").alias("gid"), F.col(f"{side}_stop").alias("_stop"))
                      .join(copies[side], [*keys, "gid"]).filter(F.col("idx") < F.col("_stop"))
                      .groupBy(*keys, F.col("gid").alias(f"{side}_gid")).agg(F.count(F.lit(1)).alias(f"{side}_ahead")))
-            mutual = mutual.join(ahead, [*keys, f"{side}_gid"], "left").withColumn(
+            mutual = mutual.join(ahead.hint("merge"), [*keys, f"{side}_gid"], "left").withColumn(
                 f"{side}_room", F.when(F.col(f"{side}_stop").isNull(), F.col(f"n_{side}") - F.col(f"{side}_from"))
                 .otherwise(F.col(f"{side}_ahead") - F.col(f"{side}_from")))
-        taken = cut_lineage(mutual.select(*keys, "old_gid", "new_gid", "similarity", "old_from", "new_from",
+        taken = cut(mutual.select(*keys, "old_gid", "new_gid", "similarity", "old_from", "new_from",
                                           F.least("old_room", "new_room").cast("long").alias("k")))
         runs.append(taken)
         done += [*headed.values(), top]
@@ -479,7 +489,7 @@ def _match_large(old: DataFrame, new: DataFrame, keys: list[str], floor: float,
             discard(*done, *state.values(), current)
             break
         before = state
-        state = {s: cut_lineage(
+        state = {s: cut(
             state[s].join(taken.select(*keys, F.col(f"{s}_gid").alias("gid"), "k"), [*keys, "gid"], "left")
             .withColumn("used", F.col("used") + F.coalesce("k", F.lit(0))).drop("k")
             .filter(F.col("used") < F.col("n"))) for s in state}

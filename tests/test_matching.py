@@ -202,3 +202,19 @@ def test_few_products_of_a_section_are_double(monkeypatch):
     i, j, s = M.greedy_pairs(old, new, 0.5)
     assert {(a, b, v) for a, b, v in zip(i.tolist(), j.tolist(), s.tolist())} == greedy(old[:], new, 0.5)
     assert 0 < sum(seen) < len(old) * len(new) / 4
+
+
+def test_rounds_broadcast_nothing(spark):
+    """What a round broadcasts goes through the driver, and there are many rounds: their tables meet by sorting."""
+    def plans(df):
+        return df._jdf.queryExecution().toString()
+
+    old, new = {"a": unit(np.array([[1.0, 0], [0, 1]]))}, {"a": unit(np.array([[1.0, 0.1]]))}
+    seen, cut_lineage = [], M.cut_lineage
+    try:
+        M.cut_lineage = lambda df: seen.append(plans(df)) or cut_lineage(df)
+        got = M._match_large(side(spark, old), side(spark, new), KEYS, 0.5, 8)
+    finally:
+        M.cut_lineage = cut_lineage
+    assert len(seen) > 8 and any("SortMergeJoin" in p for p in seen)
+    assert not [p for p in [*seen, plans(got)] if "BroadcastHashJoin" in p]
