@@ -65,3 +65,32 @@ def test_vectors_of_unequal_length_are_an_error(spark):
                                    ("k", "new", 0, [1.0, 0.0])], "k string, side string, idx long, vector array<double>")
     with pytest.raises(Exception, match="differ in length"):
         M.align_bounded(sides, 0.5, ["k"]).collect()
+
+
+def _alignments(df):
+    """How often a plan aligns paragraphs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow")
+
+
+def test_the_alignment_behind_statistics_and_guards_is_computed_once(spark):
+    from redline.operators import stats as S
+    from redline.plans.change_report import align_corpus, diff_corpus
+
+    docs = spark.createDataFrame(
+        [("T", f"FY{y}", anchor, 0, f"the total was ${y - 2000} for {anchor}\nsame words in every year")
+         for y in (2021, 2022, 2023) for anchor in ("business", "income_statement", None)],
+        "ticker string, fiscal_year string, anchor string, chunk_no long, text string")
+    records = align_corpus(docs, sep="\n")[0].withColumn("classification", F.lit("unchanged"))
+    stats = S.section_stats(records)
+    assert _alignments(stats) == 0  # the rows per section pair are kept
+    assert sorted((r.anchor, r.n_records) for r in stats.collect()) == [
+        ("business", 4), ("income_statement", 4), ("unknown", 4)]
+    signal = spark.createDataFrame([("T", "FY2021", "FY2022", "income_statement", "Revenues", 1.0, 2.0, 1.0)],
+                                   "ticker string, y_old string, y_new string, anchor string, tag string, old double, new double, pct double")
+    guarded = diff_corpus(docs, sep="\n", signal=signal, with_words=False)
+    assert _alignments(guarded) == 1
+    rows = guarded.collect()
+    assert len(rows) == 12 and {r.anchor for r in rows} == {"business", "income_statement", "unknown"}
+    plain = diff_corpus(docs, sep="\n", with_words=False).collect()
+    unguarded = lambda rs: sorted((r.anchor, r.y_old, r.old_idx, r.new_idx, r.similarity) for r in rs)
+    assert unguarded(rows) == unguarded(plain)
