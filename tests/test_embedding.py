@@ -94,3 +94,13 @@ def test_the_alignment_behind_statistics_and_guards_is_computed_once(spark):
     plain = diff_corpus(docs, sep="\n", with_words=False).collect()
     unguarded = lambda rs: sorted((r.anchor, r.y_old, r.old_idx, r.new_idx, r.similarity) for r in rs)
     assert unguarded(rows) == unguarded(plain)
+
+
+def test_stored_vectors_are_those_of_the_task(spark):
+    from redline.operators.vectors import embed
+
+    texts = ["b a  a", "", None, "ä b", "x" * 80]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    got = {r.i: r.vector for r in embed(df, "text").collect()}
+    want = hashed_embedder()([t or "" for t in texts])
+    assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], want, atol=1e-15)
