@@ -104,3 +104,44 @@ def test_stored_vectors_are_those_of_the_task(spark):
     got = {r.i: r.vector for r in embed(df, "text").collect()}
     want = hashed_embedder()([t or "" for t in texts])
     assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], want, atol=1e-15)
+
+
+def test_lengths_leave_the_alignment_in_place_of_texts(spark):
+    old = ["alpha beta gamma delta", "alpha beta gamma delta é 10", "one two three", "nothing like it"]
+    new = ["alpha beta gamma delta", "alpha beta gamma delta é 20", "one two three four", "quite another thing", "日本 😀"]
+    sides = spark.createDataFrame([("k", side, i, t) for side, ts in (("old", old), ("new", new)) for i, t in enumerate(ts)],
+                                  "sec string, side string, idx long, text string")
+    large = spark.createDataFrame([("k",)], "sec string")
+    for given in (None, large):
+        whole = {(r.kind, r.old_idx, r.new_idx): r for r in M.align_sides(sides, 0.5, ["sec"], "hashed", given).collect()}
+        sized = M.align_sides(sides, 0.5, ["sec"], "hashed", given, texts_out=False, chars_out=True)
+        assert sized.columns == ["sec", "kind", "old_idx", "new_idx", "similarity", "old_chars", "new_chars"]
+        rows = sized.collect()
+        assert len(rows) == len(whole)
+        for r in rows:
+            w = whole[r.kind, r.old_idx, r.new_idx]
+            assert (r.similarity, r.old_chars, r.new_chars) == (w.similarity, len(w.old_text), len(w.new_text))
+
+
+def test_only_like_but_different_pairs_bring_their_texts(spark):
+    old = ["alpha beta gamma delta", "kappa mu 10 " + "nu " * 9, "one two three", "nothing like it"]
+    new = ["alpha beta gamma delta", "kappa mu 20 " + "nu " * 9, "one two three four", "quite another thing"]
+    sides = spark.createDataFrame([("k", side, i, t) for side, ts in (("old", old), ("new", new)) for i, t in enumerate(ts)],
+                                  "sec string, side string, idx long, text string")
+    for given in (None, spark.createDataFrame([("k",)], "sec string")):
+        whole = M.align_sides(sides, 0.5, ["sec"], "hashed", given).collect()
+        shown = {(r.kind, r.old_idx, r.new_idx): r for r in M.align_sides(sides, 0.5, ["sec"], "hashed", given, alike=0.95).collect()}
+        assert len(shown) == len(whole) and any(r.old_text for r in shown.values())
+        for w in whole:
+            sent = w.kind == "matched" and w.similarity >= 0.95 and w.old_text != w.new_text
+            r = shown[w.kind, w.old_idx, w.new_idx]
+            assert (r.similarity, r.old_text, r.new_text) == (w.similarity, *((w.old_text, w.new_text) if sent else ("", "")))
+
+
+def test_churn_reads_no_texts_behind_the_alignment(spark, sf_dir="/root/testdata/sf0.001"):
+    from redline import catalogue
+    catalogue.load_all()
+    for name in ("section_churn", "section_churn_matrix"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        out = [line for line in plan.split("\n") if "FlatMapGroupsInArrow" in line]
+        assert out and all("old_text" not in line for line in out)
