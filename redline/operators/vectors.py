@@ -185,8 +185,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRI
 
     The corpus is scanned in place and never shuffled: each task multiplies its batches with the query
     matrix, keeps k rows per query and only those meet in the final ranking. The query matrix is shared
-    with the executors while it is small (rows and bytes are checked); beyond that, bounded slabs of queries are packed by
-    Spark and meet bounded slabs of the corpus.
+    with the executors while it is small (rows and bytes are checked); beyond that, slabs of queries meet slabs of the corpus,
+    both as large as a task may hold, since a row is copied once for each slab of the other side.
     """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
@@ -199,7 +199,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = dims.TOP_K_RETRI
         shared = spark.sparkContext.broadcast((head["q"].to_numpy(), as_matrix(head["v"])))
         partial = c.mapInArrow(_scan_kernel(shared, k), schema)
     else:
-        partial = _slab_join(q, c, k, max_shared_rows, schema)
+        partial = _slab_join(q, c, k, len(head["v"][0]) if head.num_rows and head["v"][0].is_valid else 1, schema)
     best = top_per_key(partial, ["q"], [F.col("similarity").desc(), F.col("c")], k)
     return best.select(F.col("q").alias(query_id), F.col("c").alias(corpus_id), "similarity",
                        (1 - F.col("similarity")).alias("distance"), "rank")
@@ -236,14 +236,19 @@ def _scan_kernel(shared, k):
     return run
 
 
-SLAB_ROWS = 4096
+SLAB_ROWS = 4096             # rows of the corpus that are worth a task
+SLAB_CELLS = 1 << 22         # numbers a slab holds (32 MB): 32,768 vectors of length 128
 
 
-def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, schema: str) -> DataFrame:
+def slab_counts(nq: int, nc: int, width: int, tasks: int) -> tuple[int, int]:
+    """How many slabs of queries and of the corpus: as few as fit a task, the corpus in ``tasks`` where it has the rows."""
+    rows = max(1, SLAB_CELLS // max(1, width))
+    return max(1, -(-nq // rows)), max(1, -(-nc // rows), min(tasks, -(-nc // SLAB_ROWS)))
+
+
+def _slab_join(q: DataFrame, c: DataFrame, k: int, width: int, schema: str) -> DataFrame:
     """Bounded slabs of queries meet bounded slabs of the corpus; k rows per query leave each meeting."""
-    rows = min(SLAB_ROWS, limit)
-    nq, nc = q.count(), c.count()
-    n_q, n_c = max(1, -(-nq // rows)), max(1, -(-nc // SLAB_ROWS))
+    n_q, n_c = slab_counts(q.count(), c.count(), width, c.sparkSession.sparkContext.defaultParallelism)
 
     def met(name, other):
         return (F.pmod(F.xxhash64(name), F.lit({"q": n_q, "c": n_c}[name])).cast("int").alias(f"{name}s"),
@@ -258,7 +263,9 @@ def _slab_join(q: DataFrame, c: DataFrame, k: int, limit: int, schema: str) -> D
                                           as_matrix(right["v"]), k) if left.num_rows and right.num_rows else [])
         return pa.table([pa.array(np.concatenate([p[j] for p in parts])) for j in range(3)], ["q", "c", "similarity"])
 
-    # one meeting of two slabs is one group: an Arrow batch of the joined slabs would hold many
+    # one meeting of two slabs is one group: an Arrow batch of the joined slabs would hold many. The work is in the numbers,
+    # so the few groups are dealt over more partitions than there are, which do not coalesce
+    left, right = (side.repartition(2 * n_q * n_c, *keys) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
