@@ -218,3 +218,39 @@ def test_rounds_broadcast_nothing(spark):
         M.cut_lineage = cut_lineage
     assert len(seen) > 8 and any("SortMergeJoin" in p for p in seen)
     assert not [p for p in [*seen, plans(got)] if "BroadcastHashJoin" in p]
+
+
+def _headed(spark, mats):
+    rows = [(k, f"{i:032d}", i, [float(x) for x in v]) for k, m in mats.items() for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "sec string, gid string, head long, vector array<double>")
+
+
+@pytest.mark.parametrize("held, batch", [(1 << 17, 10_000), (7, 5)])
+def test_lists_of_large_sections_are_exact(spark, held, batch):
+    """Blocks held by tasks, partners streaming past in batches: the best by similarity, then position, and a true cutoff."""
+    old, new = ({**cases(s), "z": _near_parallel(s, 30), f"only{s}": np.ones((2, 3))} for s in (1, 2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = M._block_lists(_headed(spark, old), _headed(spark, new), KEYS, "old", 0.5, held).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = 0
+    for k in old.keys() & new.keys():
+        sims = np.round(old[k] @ new[k].T, 9)
+        for i, row in enumerate(sims):
+            order = [j for j in np.lexsort((np.arange(len(row)), -row)) if row[j] >= 0.5]
+            mine = got[(got.sec == k) & (got.gid == f"{i:032d}")].sort_values(["similarity", "partner_head"], ascending=[False, True])
+            assert mine.partner_head.tolist() == order[:M.LISTED] and mine.similarity.tolist() == row[order[:M.LISTED]].tolist()
+            assert mine.partner.tolist() == [f"{j:032d}" for j in order[:M.LISTED]] and set(mine.side) <= {"old"}
+            cutoff = row[order[M.LISTED]] if len(order) > M.LISTED else None
+            assert mine.cutoff.isna().all() if cutoff is None else (mine.cutoff == cutoff).all()
+            n += len(mine)
+    assert n == len(got)
+
+
+def test_lists_of_large_sections_shuffle_a_vector_once_per_block(spark):
+    """Meetings of tiles copied every vector once per tile of the other side, so the disk grew with the square of a section."""
+    rows = _headed(spark, {"a": unit(np.random.default_rng(1).normal(size=(300, 4)))})
+    plan = M._block_lists(rows, rows, KEYS, "old", 0.5, 100)
+    dealt = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(0, (_blocks" in dealt and "_tile" not in dealt
